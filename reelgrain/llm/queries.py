@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrain.llm import calibrate, leakage, oracles, runs, splits
+from reelgrain.llm import calibrate, leakage, oracles, packing, runs, splits
 from reelgrain.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,14 @@ def p4_frames(spark: SparkSession, d: str) -> DataFrame:
     return splits.frame_splits(table(spark, d, "composed"), table(spark, d, "manifest"), table(spark, d, "splits"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.cut_documents(table(spark, d, "documents"))
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "eval_items"), table(spark, d, "documents")).select("item_id", "doc_id")
 
@@ -59,7 +67,7 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [p1_found, p1_runs, p2_found, p2_report, p2_sample, p4_found, p4_images, p4_frames, p7_found, p7_matches, p7_clean]
+    named = [p1_found, p1_runs, p2_found, p2_report, p2_sample, p4_found, p4_images, p4_frames, p6_found, p6_containers, p7_found, p7_matches, p7_clean]
     return {f.__name__: f for f in named}
 
 
