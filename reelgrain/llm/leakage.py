@@ -35,7 +35,7 @@ EVAL_CHARS = 16_000_000
 HITS = "item_id long, doc_id long, kind string, item_start long, doc_start long, span long, edits int"
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
-_MARKUP = re.compile("[*`­​-‏‪-‮⁠-⁤﻿]")
+_MARKUP = re.compile("[*`\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 

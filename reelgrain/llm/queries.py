@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrain.llm import calibrate, leakage, oracles, packing, runs, splits
+from reelgrain.llm import calibrate, leakage, oracles, packing, runs, sentences, splits
 from reelgrain.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,8 +66,12 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.clean(table(spark, d, "eval_items"), table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    named = [p1_found, p1_runs, p2_found, p2_report, p2_sample, p4_found, p4_images, p4_frames, p6_found, p6_containers, p7_found, p7_matches, p7_clean]
+    named = [p1_found, p1_runs, p2_found, p2_report, p2_sample, p4_found, p4_images, p4_frames, p6_found, p6_containers, p7_found, p7_matches, p7_clean, p8_found]
     return {f.__name__: f for f in named}
 
 
