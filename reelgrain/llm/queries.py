@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrain.llm import calibrate, leakage, oracles, packing, runs, sentences, splits
+from reelgrain.llm import calibrate, leakage, neighbours, oracles, packing, runs, sentences, splits
 from reelgrain.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,14 @@ def p4_frames(spark: SparkSession, d: str) -> DataFrame:
     return splits.frame_splits(table(spark, d, "composed"), table(spark, d, "manifest"), table(spark, d, "splits"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.pairs(neighbours.neighbours(table(spark, d, "splat_points"), asked=table(spark, d, "knn_probes")))
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, d, "splat_points"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.cut_documents(table(spark, d, "documents"))
 
@@ -71,7 +79,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [p1_found, p1_runs, p2_found, p2_report, p2_sample, p4_found, p4_images, p4_frames, p6_found, p6_containers, p7_found, p7_matches, p7_clean, p8_found]
+    named = [p1_found, p1_runs, p2_found, p2_report, p2_sample, p4_found, p4_images, p4_frames, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_matches, p7_clean, p8_found]
     return {f.__name__: f for f in named}
 
 
