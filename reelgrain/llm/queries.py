@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrain.llm import calibrate, leakage, neighbours, oracles, packing, runs, sentences, splits
+from reelgrain.llm import calibrate, leakage, mixture, neighbours, oracles, packing, runs, sentences, splits
 from reelgrain.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,14 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.sample(table(spark, d, "composed"), table(spark, d, "targets"))[0]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.members(table(spark, d, "manifest"))
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.clusters(table(spark, d, "manifest"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.related_images(table(spark, d, "composed")).select("first_image_id", "image_id")
 
@@ -79,7 +87,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [p1_found, p1_runs, p2_found, p2_report, p2_sample, p4_found, p4_images, p4_frames, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_matches, p7_clean, p8_found]
+    named = [p1_found, p1_runs, p2_found, p2_report, p2_sample, p3_found, p3_clusters, p4_found, p4_images, p4_frames, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_matches, p7_clean, p8_found]
     return {f.__name__: f for f in named}
 
 
