@@ -40,6 +40,28 @@ select s.run, t.robot from size s cross join targets t
 left join got g on g.run = s.run and g.robot = lower(regexp_replace(t.robot, '[\s_-]+', '', 'g'))
 where coalesce(g.n, 0) < greatest(t.min_rows, t.share_pct * s.size // 100)"""
 
+# groups are such that alikeness is transitive in them; the first is then the smallest alike outline
+P3_FOUND = f"""
+with {LATEST_MANIFEST},
+each as (select item_id, unnest(robots) as r, generate_subscripts(robots, 1) - 1 as k from held),
+o as (select item_id, k::int as k, r.area as area, r.bbox[3] - r.bbox[1] as w, r.bbox[4] - r.bbox[2] as h, r.mean as mean from each
+      where r.area >= 1 and r.bbox is not null and r.mean is not null),
+f as (select b.item_id, b.k, min((a.item_id, a.k)) as first from o a join o b on abs(a.w - b.w) <= 3 and abs(a.h - b.h) <= 3
+      and abs(a.mean - b.mean) <= 2.0 and abs(a.area - b.area) <= 0.04 * greatest(a.area, b.area) group by b.item_id, b.k)
+select first[1] as first_item_id, first[2] as first_k, item_id, k from f where first <> (item_id, k)"""
+
+P5_FOUND = """
+with p as (select distinct row_id, scene, x::double as x, y::double as y, z::double as z from splat_points
+           where isfinite(x) and isfinite(y) and isfinite(z) and row_id is not null and scene is not null),
+n as (select a.row_id as a, b.row_id as b, row_number() over (partition by a.row_id order by
+      sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)), b.row_id) as rn
+      from p a join (select distinct row_id from knn_probes) using (row_id) join p b on a.scene = b.scene and a.row_id <> b.row_id)
+select distinct least(a, b) as row_id_a, greatest(a, b) as row_id_b from n where rn <= 8"""
+
+P6_FOUND = r"""
+select doc_id from documents where doc_id is not null and text is not null
+and len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]+')) > 2048"""
+
 P4_FOUND = r"""
 with recursive img as (select * from (select *, row_number() over (partition by image_id order by written_at desc nulls last) as rn from composed
              where image_id is not null) where rn = 1),

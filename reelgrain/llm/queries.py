@@ -92,4 +92,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": oracles.P1_FOUND, "p1_runs": oracles.P1_RUNS, "p2_found": oracles.P2_FOUND, "p4_found": oracles.P4_FOUND}
+    return {"p1_found": oracles.P1_FOUND, "p1_runs": oracles.P1_RUNS, "p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p4_found": oracles.P4_FOUND, "p5_found": oracles.P5_FOUND, "p6_found": oracles.P6_FOUND}
