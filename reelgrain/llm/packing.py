@@ -138,9 +138,9 @@ def _packer(capacity: int, n_all: int, mean: float):
     return pack
 
 
-def _round(scratch: Scratch, pieces: DataFrame, df: DataFrame | None, n_all: int, mean: float, capacity: int, shard: int) -> tuple[DataFrame, DataFrame]:
-    """Shard, index and pack ``pieces``; returns the packed rows and the document frequencies."""
-    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _round(scratch: Scratch, pieces: DataFrame, df: DataFrame | None, n_all: int, mean: float, capacity: int, shard: int, want: int) -> tuple[DataFrame, DataFrame]:
+    """Shard, index and pack ``pieces`` in at least ``want`` shards; returns the packed rows and the document frequencies."""
+    parts = max(1, min(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), want))
     placed = pieces.repartitionByRange(parts, "sig", "doc_id", "piece").sortWithinPartitions("sig", "doc_id", "piece")
     row = F.monotonically_increasing_id()
     number = F.shiftright(row, 33) * (1 << 24) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / shard)
@@ -170,11 +170,11 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, ret
     full = pieces.where(F.col("n_tokens") == capacity)
     name = lambda kind: F.concat_ws("-", F.lit(kind), "shard", "container")
     alone = full.select(F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("container"), "doc_id", "piece", "start_token", "n_tokens", F.col("n_tokens").alias("filled"))
-    first, df = _round(scratch, pieces.where(F.col("n_tokens") < capacity), None, n_all, mean or 0.0, capacity, shard)
+    first, df = _round(scratch, pieces.where(F.col("n_tokens") < capacity), None, n_all, mean or 0.0, capacity, shard, 4 * n_all // shard)
     good = first.where(F.col("filled") >= retry * capacity)
     poor = first.where(F.col("filled") < retry * capacity).select("doc_id", "piece", "start_token")
     again = pieces.join(poor, ["doc_id", "piece", "start_token"], "left_semi")
-    second, _ = _round(scratch, again, df, n_all, mean or 0.0, capacity, shard)
+    second, _ = _round(scratch, again, df, n_all, mean or 0.0, capacity, shard, -(-poor.count() // shard))
     shape = ["container", "doc_id", "piece", "start_token", "n_tokens", "filled"]
     return alone.unionByName(good.withColumn("container", name("a")).select(*shape)).unionByName(second.withColumn("container", name("b")).select(*shape))
 
