@@ -8,6 +8,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BLOB = T.ArrayType(T.StructType([T.StructField(c, T.DoubleType() if c in ("cx", "cy", "intensity") else T.IntegerType()) for c in ("cx", "cy", "x", "y", "w", "h", "area", "intensity")]))
 
 
 def box_sum(a: np.ndarray, size: int) -> np.ndarray:
@@ -148,13 +151,13 @@ def square_gap(mask: np.ndarray) -> float:
     return 1 - len(x) / area
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sharpness_of(gray: pd.Series, width: pd.Series) -> pd.Series:
     """Blur score of grey frames as bytes; null without picture."""
     return pd.Series([None if g is None else sharpness(np.frombuffer(g, np.uint8).reshape(-1, int(w))) for g, w in zip(gray, width)], dtype="float64")
 
 
-@F.pandas_udf("array<struct<cx:double,cy:double,x:int,y:int,w:int,h:int,area:int,intensity:double>>")
+@F.pandas_udf(BLOB)
 def blobs_of(mask: pd.Series, gray: pd.Series, width: pd.Series) -> pd.Series:
     """Blobs of masks and frames as bytes."""
     names = ("cx", "cy", "x", "y", "w", "h", "area", "intensity")

@@ -85,15 +85,13 @@ def within_radius(rows: DataFrame, centres: DataFrame, x: str, y: str, radius: f
     return rows.join(c, near, "left_semi")
 
 
-def reconcile(left: DataFrame, right: DataFrame, key: str, checks: list[tuple[str, Column]]) -> DataFrame:
-    """``key, problem``: rows of ``left`` without partner in ``right`` and those failing a check, one row a problem.
-
-    ``right`` carries ``_there`` (true); checks are written over the joined columns.
-    """
+def reconcile(left: DataFrame, right: DataFrame, key: str, checks: list[tuple[str, Column]], show: list[str] | None = None) -> DataFrame:
+    """``show, problem``: rows of ``left`` without partner in ``right`` (one row per key) and those failing a check, one
+    row a problem. Checks are written over the joined columns; a null check is passed."""
     joined = left.join(right.withColumn("_there", F.lit(True)), key, "left")
     missing = F.when(F.col("_there").isNull(), F.lit("missing"))
     failed = [F.when(F.col("_there") & F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in checks]
-    return joined.select(key, F.explode(F.array_compact(F.array(missing, *failed))).alias("problem"))
+    return joined.select(*(show or [key]), F.explode(F.array_compact(F.array(missing, *failed))).alias("problem"))
 
 
 def nearest_centre(rows: DataFrame, centres: DataFrame, vector: str, id_: str, label: str, limit: int = 10_000) -> DataFrame:

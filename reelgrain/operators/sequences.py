@@ -132,10 +132,16 @@ def last_and_tail(df: DataFrame, keys: list[str], order: list[str], value: str,
     return kept.groupBy(*keys).agg(F.max_by(value, -F.col("_r")).alias("last"), F.avg(value).alias("tail_mean"))
 
 
-def trail(df: DataFrame, keys: list[str], order: list[str], value: str, length: int) -> DataFrame:
-    """``df`` with ``trail``: the last ``length`` values including its own. For keys of moderate size (one window)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - length, 0)
-    return df.withColumn("trail", F.collect_list(value).over(w))
+def trail(df: DataFrame, keys: list[str], order: list[str], value: str, length: int, bucket: Column, block: int = 1000) -> DataFrame:
+    """``df`` with ``trail``: the last ``length`` values including its own (``length`` at most ``block``).
+
+    Rows are numbered in two phases and windowed per block; the last rows of a block are copied to the next as context.
+    """
+    rows = numbered(df, keys, order, bucket, "_rn").withColumn("_own", F.floor((F.col("_rn") - 1) / block))
+    late = (F.col("_rn") - 1) % block >= block - (length - 1)
+    rows = rows.withColumn("_block", F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    w = Window.partitionBy(*keys, "_block").orderBy("_rn").rowsBetween(1 - length, 0)
+    return rows.withColumn("trail", F.collect_list(value).over(w)).where(F.col("_block") == F.col("_own")).select(*df.columns, "trail")
 
 
 def frame_rate(df: DataFrame, keys: list[str], order: list[str], ts: str, bucket: Column, every: int = 10) -> DataFrame:

@@ -46,6 +46,10 @@ class Scratch:
         out._scratch = self  # keeps id(out) valid for drop
         return out
 
+    def path_of(self, df: DataFrame) -> str:
+        """Folder of a table returned by ``write``."""
+        return self._paths[id(df)]
+
     def drop(self, df: DataFrame | None) -> None:
         """Delete the files behind a table returned by ``write``. Unknown tables are left alone."""
         path = self._paths.pop(id(df), None)
