@@ -3,14 +3,15 @@ in parallel; where it composes, chunks are combined; a truly sequential fold str
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrain.functions.geometry import touches
+from reelgrain.operators.ranks import numbered
 from reelgrain.operators.sequences import running_max, running_sums
 
 
@@ -42,50 +43,34 @@ def contact_fold(frames: DataFrame, keys: list[str], at: str, boxes: str, reach:
 
 
 def ewma(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column, keep: float = 0.9) -> DataFrame:
-    """``df`` with ``ewma``: ``keep * before + (1 - keep) * value``, seeded by the first value; null values leave it as it is.
+    """``df`` with ``ewma``: ``keep * before + (1 - keep) * value``, seeded by the first value; null values leave it as it is
+    (null before the first value).
 
-    A chunk is the linear map (power, sum) of the state before it: chunks are computed apart, the few maps per key are
-    composed in order, and the state before each chunk is added back.
+    The recurrence is a decaying sum: within a block of values it is ``keep^i * sum(x * keep^-i)``, a plain window sum; what
+    comes before a block enters through the sums of the last blocks, as many as double precision can tell from zero.
     """
-    rows = df.withColumn("_b", bucket)
-    schema = rows.schema.simpleString()[7:-1]
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        x = pdf[value].to_numpy(float)
-        power, total, seeded = 1.0, 0.0, False
-        powers, sums = np.empty(len(x)), np.empty(len(x))
-        for i, v in enumerate(x.tolist()):
-            if v == v:
-                # without a state before it the first value is the state: both cases are kept apart by ``first``
-                power *= keep
-                total = keep * total + (1 - keep) * v
-                seeded = True
-            powers[i], sums[i] = power, total
-        out = pdf.copy()
-        out["_power"], out["_sum"] = powers, sums
-        seen = x[~np.isnan(x)]
-        out["_first"] = seen[0] if seeded else np.nan
-        out["_rank"] = np.arange(len(x))
-        return out
-
-    parts = rows.groupBy(*keys, "_b").applyInPandas(local, f"{schema}, _power double, _sum double, _first double, _rank long")
-    last = parts.groupBy(*keys, "_b").agg(F.max_by(F.struct("_power", "_sum", "_first"), "_rank").alias("_m"))
-    maps = last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_b").alias("b"), F.col("_m").alias("m")))).alias("_maps"))
-    start = F.struct(F.lit(None).cast("double").alias("s"), F.array().cast("array<double>").alias("before"))
-
-    def compose(state: Column, x: Column) -> Column:
-        base = F.coalesce(state["s"], F.when(~F.isnan(x["m"]["_first"]), x["m"]["_first"]))
-        return F.struct((x["m"]["_power"] * base + x["m"]["_sum"]).alias("s"), F.concat(state["before"], F.array(base)).alias("before"))
-
-    states = maps.select(*keys, F.explode(F.arrays_zip(F.transform("_maps", lambda m: m["b"]).alias("b"), F.aggregate("_maps", start, compose)["before"].alias("s"))).alias("z"))
-    states = states.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("z.b").alias("_ob"), F.col("z.s").alias("_state"))
-    same = F.col("_b").eqNullSafe(F.col("_ob"))
+    block = max(1, min(1000, int(600 / -math.log(keep))))
+    back = math.ceil(40 / (-math.log(keep) * block))
+    rows = running_sums(df.withColumn("_one", F.col(value).isNotNull().cast("int")), keys, order, {"_c": "_one"}, bucket)
+    vals = rows.where(F.col(value).isNotNull()).select(*keys, "_c", F.col(value).cast("double").alias("_v"), F.floor((F.col("_c") - 1) / block).alias("_block"))
+    i = (F.col("_c") - 1) % block + 1
+    x = F.when(F.col("_c") == 1, F.col("_v")).otherwise((1 - keep) * F.col("_v"))
+    w = Window.partitionBy(*keys, "_block").orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)
+    vals = vals.withColumn("_i", i).withColumn("_local", F.pow(F.lit(keep), F.col("_i")) * F.sum(x * F.pow(F.lit(keep), -i)).over(w))
+    wk = Window.partitionBy(*keys).orderBy("_block")
+    before = F.lit(0.0)
+    for m in range(1, back + 1):
+        before = before + F.coalesce(F.lag("_end", m).over(wk), F.lit(0.0)) * keep ** (block * (m - 1))
+    ends = vals.groupBy(*keys, "_block").agg(F.max_by("_local", "_i").alias("_end")).withColumn("_before", before)
+    ends = ends.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_ob"), "_before")
+    same = F.col("_block") == F.col("_ob")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    # rows before a key's first value have power 1 and no state: null
-    y = F.when((F.col("_power") == 1.0) & (F.col("_sum") == 0.0) & (F.col("_state") == F.col("_first")), F.lit(None).cast("double")).otherwise(F.col("_power") * F.col("_state") + F.col("_sum"))
-    return parts.join(states, same).select(*df.columns, y.alias("ewma"))
+    done = vals.join(ends, same).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_c").alias("_oc"), (F.col("_local") + F.pow(F.lit(keep), F.col("_i")) * F.col("_before")).alias("ewma"))
+    same = F.col("_c") == F.col("_oc")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(done, same, "left").select(*df.columns, "ewma")
 
 
 def streamed(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[], Callable[[tuple, dict], dict | None]], schema: str) -> DataFrame:
@@ -127,6 +112,4 @@ def lost_track(area: Column, area_before: Column, jump: Column, on_change: Colum
 
 def one_in(df: DataFrame, keys: list[str], order: list[str], bucket: Column, counts: Column, n: int) -> DataFrame:
     """Of the rows for which ``counts`` holds, every n-th from the first, per key."""
-    from reelgrain.operators.ranks import numbered
-
     return numbered(df.where(F.coalesce(counts, F.lit(False))), keys, order, bucket, "_rn").where((F.col("_rn") - 1) % n == 0).drop("_rn")

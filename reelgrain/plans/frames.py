@@ -182,7 +182,7 @@ select event_id, round(s + 1.3e-8, 6) as ewma from e""")
 def ewma_fold(spark, d):
     """Exponentially weighted mean of a user's values, seeded by the first; shifted off the decimal ties before rounding."""
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
-    return folds.ewma(e, ["user_id"], ["ts", "event_id"], "value", F.floor(by_day() / 60)).select("event_id", F.round(F.col("ewma") + 1.3e-8, 6).alias("ewma"))
+    return folds.ewma(e, ["user_id"], ["ts", "event_id"], "value", by_day()).select("event_id", F.round(F.col("ewma") + 1.3e-8, 6).alias("ewma"))
 
 
 @query(f"""with {FRAMES} select clip, frame, coalesce(lag(unlabelled) over w, lead(unlabelled) over w) as against from held window w as (partition by clip order by frame)""")
