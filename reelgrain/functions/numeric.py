@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 
 def even_round(x: Column, digits: int) -> Column:
-    """Rounding of the exact binary value, half to even, as IEEE languages do it.
+    """Rounding of the exact binary value, half to even, as IEEE languages do it (up to 2 digits).
 
     ``round`` in SQL rounds the shortest decimal text of a double, so 0.745 becomes 0.75 though the double is below the
-    tie. Below 1000 a double is a whole number of 2^-53 or coarser, so the comparison is done in whole numbers; from
-    1000 on ``bround`` is used.
+    tie. Below 1000 a double is a whole number of 2^-53, below 1 (and not below the first tie) of 2^-62, so the comparison
+    is done in whole numbers; from 1000 on ``bround`` is used.
     """
-    one = F.lit(2**53).cast("decimal(17,0)")
-    q = (F.abs(x) * F.lit(2.0**53)).cast("bigint").cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(10,0)")
-    whole = F.floor(q / one) if digits == 0 else (q - q % one) / one
-    twice = (q % one) * 2
-    up = (twice > one) | ((twice == one) & (whole % 2 == 1))
-    small = F.signum(x) * (whole + F.when(up, 1).otherwise(0)).cast("double") / F.lit(10.0**digits)
-    return F.when(x.isNull() | F.isnan(x), x).when(F.abs(x) < 1000, small).otherwise(F.bround(x, digits))
+    size = F.abs(x)
+    one = F.when(size < 1, F.lit(2**62).cast("decimal(19,0)")).otherwise(F.lit(2**53).cast("decimal(19,0)"))
+    units = F.when(size < 1, size * F.lit(2.0**62)).otherwise(size * F.lit(2.0**53))
+    q = units.cast("bigint").cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(5,0)")
+    rest = q % one
+    whole = ((q - rest) / one).cast("double")
+    up = (rest * 2 > one) | ((rest * 2 == one) & (F.pmod(whole, F.lit(2.0)) == 1))
+    small = F.signum(x) * (whole + F.when(up, 1.0).otherwise(0.0)) / F.lit(10.0**digits)
+    return F.when(x.isNull() | F.isnan(x), x).when(size < 1000, small).otherwise(F.bround(x, digits))
 
 
 def trunc(x: Column) -> Column:

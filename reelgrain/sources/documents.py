@@ -152,21 +152,23 @@ def ply_points(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, shape)
 
 
+def _names(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths a glob matches; only names are read, as for any scan the driver lists the files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().toString() for f in found] if found is not None else []
+
+
 def submodels(spark: SparkSession, folder: str) -> DataFrame:
     """``name, position`` of the sub-folders that hold images.bin, numeric names first in number order, others as 99."""
-    there = existing(spark, [f"{folder}/*/images.bin"])
-    if not there:
-        return spark.createDataFrame([], "name string, position long")
-    files = spark.read.format("binaryFile").load(there).select(F.regexp_extract("path", r"([^/]+)/images\.bin$", 1).alias("name"))
-    return files.select("name", F.coalesce(F.expr("try_cast(name as bigint)"), F.lit(99)).cast("bigint").alias("position")).orderBy("position", "name")
+    names = [(p.split("/")[-2],) for p in _names(spark, f"{folder}/*/images.bin")]
+    at = F.coalesce(F.expr("try_cast(name as bigint)"), F.lit(99)).cast("bigint")
+    return spark.createDataFrame(names, "name string").select("name", at.alias("position")).orderBy("position", "name")
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """``name`` of the pictures in a folder, in order."""
-    there = existing(spark, [f"{folder}/*"])
-    if not there:
-        return spark.createDataFrame([], "name string")
-    files = spark.read.format("binaryFile").load(there).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
+    files = spark.createDataFrame([(p.split("/")[-1],) for p in _names(spark, f"{folder}/*")], "name string")
     return files.where(F.lower("name").rlike(r"\.(jpg|jpeg|png)$")).orderBy("name")
 
 

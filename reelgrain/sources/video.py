@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "frame bigint, ts double, width int, height int, gray binary"
 
@@ -80,19 +80,23 @@ class _Reader(DataSourceReader):
         return _read(self.path, range(partition.start, partition.stop, self.every))
 
 
-class _Stream(SimpleDataSourceStreamReader):
+class _Stream(DataSourceStreamReader):
+    """Frames by number as offsets; the tasks read them, so a lost one is read again."""
+
     def __init__(self, options: dict):
-        self.path, self.most = options["path"], int(options.get("framesPerBatch", 100))
+        self.path, self.each = options["path"], int(options.get("framesPerTask", 100))
 
     def initialOffset(self) -> dict:
         return {"frame": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        stop = min(start["frame"] + self.most, probe(self.path)["frames"])
-        return _read(self.path, range(start["frame"], stop)), {"frame": stop}
+    def latestOffset(self) -> dict:
+        return {"frame": probe(self.path)["frames"]}
+
+    def partitions(self, start: dict, end: dict) -> list[_Part]:
+        return [_Part(a, min(a + self.each, end["frame"])) for a in range(start["frame"], end["frame"], self.each)]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return _read(self.path, range(start["frame"], end["frame"]))
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        return _read(self.path, range(partition.start, partition.stop))
 
 
 class RawVideo(DataSource):
@@ -106,7 +110,7 @@ class RawVideo(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _Stream(dict(self.options))
 
 

@@ -53,8 +53,9 @@ def track_stream(frames: DataFrame, warm_up: int = 0, first_dt: float = 1 / 98,
 
 def windowed_counts(events: DataFrame, ts: str, late: str, width: str, keys: list[str], slide: str | None = None) -> DataFrame:
     """``start, keys, n`` per tumbling or sliding window, events later than the watermark left out."""
-    w = F.window(F.col(ts).cast("timestamp"), width, slide or width)
-    rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    rows = rows.withWatermark(ts, late) if events.isStreaming else rows
+    w = F.window(ts, width, slide or width)
     return rows.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
