@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +26,13 @@ from reelgrain.llm.graphs import join_unique
 from reelgrain.sources.scratch import Scratch
 
 K = 8
-PART = 3000
+PART = 6000
 MAX_PARTS = 1024
 PER_PART = 32
 GRAPH_K = 8
 SALT = 100_000
-COVER = 0.995
-MAX_ROUTES = 6
+COVER = 0.97
+MAX_ROUTES = 5
 PLACE = ["scene", "x", "y", "z"]
 
 
@@ -158,37 +159,69 @@ def route(points: np.ndarray, model: dict, cover: float = COVER, most: int = MAX
 # ---- exact distances within a part ----
 
 
-def nearest(queries: np.ndarray, places: np.ndarray, ids: list, k: int) -> tuple[list, list]:
-    """For each query the k nearest ids of ``places`` (``ids`` lists those at a place), by distance, then id."""
-    out_d, out_i = [], []
-    centre = places.mean(axis=0)
-    p = places - centre
-    norm = (p**2).sum(axis=1)
-    counts = np.array([len(x) for x in ids])
-    flat = np.concatenate([np.asarray(x, np.int64) for x in ids])
-    first = np.cumsum(counts) - counts
-    m = min(k, len(places))
-    step = max(1, 4_000_000 // len(places))
-    for at in range(0, len(queries), step):
-        block = queries[at : at + step]
-        q = block - centre
-        d = norm - 2 * q @ p.T  # without the query's own norm: the order is the same
-        kth = np.partition(d, m - 1, axis=1)[:, m - 1] if m < len(places) else d.max(axis=1)
+def leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers in groups of at most ``size`` near each other, by halving along the widest axis."""
+    todo, out = [np.arange(len(points))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        own = points[rows]
+        order = np.argpartition(own[:, np.ptp(own, axis=0).argmax()], len(rows) // 2)
+        todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+    return out
+
+
+def _kth(queries: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances but for rounding, and each query's k-th smallest."""
+    d = (queries**2).sum(axis=1)[:, None] + (places**2).sum(axis=1) - 2 * queries @ places.T
+    return d, np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else d.max(axis=1)
+
+
+def nearest(queries: np.ndarray, places: np.ndarray, first: np.ndarray, ids: np.ndarray, k: int, leaf: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(offsets, distances, ids)``: for each query the k nearest ids of ``places``, by distance, then id.
+
+    The ids at place i are ``ids[first[i] : first[i + 1]]``; the result of query j lies at ``offsets[j] : offsets[j + 1]``.
+    Queries are taken in small groups: some places around a group bound its k-th distances, and only places within that
+    bound of the group's box are compared.
+    """
+    counts, m = np.diff(first), min(k, len(places))
+    found: list[list[np.ndarray]] = [[], [], []]
+    few = 4 * (leaf + k)
+    for rows in leaves(queries, leaf if len(places) > 2 * few else max(leaf, 2_000_000 // len(places))):
+        block = queries[rows]
+        lo, hi = block.min(axis=0), block.max(axis=0)
+        centre = (lo + hi) / 2
+        near = np.arange(len(places))
+        if len(places) > 2 * few:
+            gap = np.maximum(np.maximum(lo - places, places - hi), 0)
+            gap = (gap * gap).sum(axis=1)
+            some = np.argpartition(gap, few)[:few]
+            bound = _kth(block - centre, places[some] - centre, m)[1].max()
+            near = np.flatnonzero(gap <= bound + 1e-9 * (1 + bound + ((hi - lo) ** 2).sum()))
+        q, p = block - centre, places[near] - centre
+        d, kth = _kth(q, p, m)
+        # rounding is far below this; whatever is kept too much falls to the exact distances
         slack = 1e-9 * (1 + np.abs(kth) + (q**2).sum(axis=1))
         row, col = np.nonzero(d <= (kth + slack)[:, None])
+        col = near[col]
         diff = block[row] - places[col]
         exact = np.sqrt(diff[:, 0] * diff[:, 0] + diff[:, 1] * diff[:, 1] + diff[:, 2] * diff[:, 2])
         n = counts[col]
-        row, exact = np.repeat(row, n), np.repeat(exact, n)
-        own = flat[np.repeat(first[col] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        order = np.lexsort((own, exact, row))
-        row, exact, own = row[order], exact[order], own[order]
-        start = np.searchsorted(row, np.arange(len(block) + 1))
-        for i in range(len(block)):
-            lo, hi = start[i], min(start[i + 1], start[i] + k)
-            out_d.append(exact[lo:hi])
-            out_i.append(own[lo:hi])
-    return out_d, out_i
+        if n.max(initial=1) > 1:
+            row, exact = np.repeat(row, n), np.repeat(exact, n)
+            own = ids[np.repeat(first[col] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        else:
+            own = ids[first[col]]
+        found[0].append(rows[row])
+        found[1].append(exact)
+        found[2].append(own)
+    row, exact, own = (np.concatenate(x) for x in found)
+    order = np.lexsort((own, exact, row))
+    row, exact, own = row[order], exact[order], own[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(queries)))[row] < k
+    return np.append([0], np.cumsum(np.bincount(row[keep], minlength=len(queries)))), exact[keep], own[keep]
 
 
 # ---- the distributed steps ----
@@ -198,32 +231,44 @@ def _xyz(pdf: pd.DataFrame) -> np.ndarray:
     return pdf[["x", "y", "z"]].to_numpy(np.float64)
 
 
-def _train(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["x", "y", "z"])
-    parts = min(MAX_PARTS, int(np.ceil(pdf["n"].iloc[0] / PART)))
-    model = train(_xyz(pdf), parts)
-    return pd.DataFrame([{"scene": pdf["scene"].iloc[0], **model}])
+def _train(part: int):
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y", "z"])
+        parts = min(MAX_PARTS, int(np.ceil(pdf["n"].iloc[0] / part)))
+        return pd.DataFrame([{"scene": pdf["scene"].iloc[0], **train(_xyz(pdf), parts)}])
 
+    return fit
 
-def _assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    if not len(left):
-        return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*PLACE, "ids", "asked", "part", "routes"]})
-    left = left.reset_index(drop=True)
-    routes = route(_xyz(left), right.iloc[0])
-    out = left[[*PLACE, "ids", "asked"]].copy()
-    out["part"] = routes[:, 0]
-    out["routes"] = [r[r >= 0] if a else np.zeros(0, np.int64) for r, a in zip(routes, left["asked"])]
-    return out
+
+def _assign(cover: float, most: int):
+    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*PLACE, "ids", "asked", "part", "routes"]})
+        left = left.reset_index(drop=True)
+        routes = route(_xyz(left), right.iloc[0], cover, most)
+        out = left[[*PLACE, "ids", "asked"]].copy()
+        out["part"] = routes[:, 0]
+        out["routes"] = [r[r >= 0] if a else np.zeros(0, np.int64) for r, a in zip(routes, left["asked"])]
+        return out
+
+    return assign
+
+
+_FOUND = pa.schema([("scene", pa.string()), *[(c, pa.float64()) for c in "xyz"], ("d", pa.list_(pa.float64())), ("near", pa.list_(pa.int64()))])
 
 
 def _rerank(k: int):
-    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*PLACE, "d", "near"]})
-        d, near = nearest(_xyz(left), _xyz(right), list(right["ids"]), k)
-        out = left[PLACE].reset_index(drop=True)
-        out["d"], out["near"] = d, near
-        return out
+    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _FOUND.empty_table()
+        xyz = lambda t: np.stack([t[c].to_numpy() for c in "xyz"], axis=1)
+        ids = right["ids"].combine_chunks()
+        ids = ids if isinstance(ids, pa.ListArray) else ids.chunk(0)
+        first = ids.offsets.to_numpy().astype(np.int64)
+        offsets, d, near = nearest(xyz(left), xyz(right), first - first[0], ids.flatten().to_numpy(), k)
+        at = pa.array(offsets.astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(d)), pa.ListArray.from_arrays(at, pa.array(near.astype(np.int64)))]
+        return pa.table([*[left[c] for c in PLACE], *lists], schema=_FOUND)
 
     return rerank
 
@@ -256,10 +301,11 @@ def _missed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def neighbours(points: DataFrame, k: int = K, asked: DataFrame | None = None) -> DataFrame:
+def neighbours(points: DataFrame, k: int = K, asked: DataFrame | None = None, part: int = PART, cover: float = COVER, most: int = MAX_ROUTES, salted: int = SALT) -> DataFrame:
     """``row_id, near, distance``: for every point its k nearest of the same scene, nearest first.
 
-    ``asked`` (``row_id``) limits the queries to some points; the index always holds all.
+    ``asked`` (``row_id``) limits the queries to some points; the index always holds all. ``part`` is the size of a part,
+    ``salted`` the most places of a scene in a task, ``cover`` and ``most`` bound the parts the classifier chooses.
     """
     spark = points.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -280,21 +326,21 @@ def neighbours(points: DataFrame, k: int = K, asked: DataFrame | None = None) ->
     sizes = scratch.write(places.groupBy("scene").agg(F.count(F.lit(1)).alias("n")))
     total = places.count()
     sized = join_unique(places, sizes, "scene", "n", max(total, 1))
-    salt = F.pmod(F.xxhash64("x", "y", "z"), F.ceil(F.col("n") / SALT)).cast("int").alias("salt")
+    salt = F.pmod(F.xxhash64("x", "y", "z"), F.ceil(F.col("n") / salted)).cast("int").alias("salt")
     unit = F.xxhash64("z", "y", "x").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    wanted = F.least(F.ceil(F.col("n") / PART), F.lit(MAX_PARTS)) * PER_PART
+    wanted = F.least(F.ceil(F.col("n") / part), F.lit(MAX_PARTS)) * PER_PART
     sample = sized.where(unit * F.col("n") < wanted * 1.1 + 64).select(*PLACE, "n")
-    models = scratch.write(sample.groupBy("scene").applyInPandas(_train, "scene string, mean array<double>, scale array<double>, w array<double>, parts int"))
-    salts = sizes.select(F.col("scene").alias("of"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SALT).cast("int") - 1)).alias("s"))
+    models = scratch.write(sample.groupBy("scene").applyInPandas(_train(part), "scene string, mean array<double>, scale array<double>, w array<double>, parts int"))
+    salts = sizes.select(F.col("scene").alias("of"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / salted).cast("int") - 1)).alias("s"))
     spread = models.join(salts, F.col("scene") == F.col("of")).select("of", "s", "mean", "scale", "w", "parts")
     index = sized.select(*PLACE, "ids", "asked", salt).groupBy("scene", "salt").cogroup(spread.groupBy("of", "s")).applyInPandas(
-        _assign, "scene string, x double, y double, z double, ids array<long>, asked boolean, part int, routes array<int>")
+        _assign(cover, most), "scene string, x double, y double, z double, ids array<long>, asked boolean, part int, routes array<int>")
     index = scratch.write(index)
     held = index.select(F.col("scene").alias("in_scene"), F.col("part").alias("in_part"), "x", "y", "z", "ids")
     shape = "scene string, x double, y double, z double, d array<double>, near array<long>"
 
     def ask(routes: DataFrame) -> DataFrame:
-        return routes.groupBy("scene", "part").cogroup(held.groupBy("in_scene", "in_part")).applyInPandas(_rerank(k + 1), shape)
+        return routes.groupBy("scene", "part").cogroup(held.groupBy("in_scene", "in_part")).applyInArrow(_rerank(k + 1), shape)
 
     def best(found: DataFrame) -> DataFrame:
         pairs = F.flatten(F.collect_list(F.arrays_zip("d", "near")))

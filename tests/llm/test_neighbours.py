@@ -35,10 +35,10 @@ def cloud():
     return rows
 
 
-def test_all_points_over_several_parts(spark, cloud, monkeypatch):
-    monkeypatch.setattr(neighbours, "PART", 60)
-    monkeypatch.setattr(neighbours, "SALT", 200)
-    got = {r.row_id: list(r.near) for r in neighbours.neighbours(spark.createDataFrame(cloud, SCHEMA), k=8).collect()}
+@pytest.mark.parametrize("cover,most", [(0.99, 6), (0.3, 1)])
+def test_all_points_over_several_parts(spark, cloud, cover, most):
+    found = neighbours.neighbours(spark.createDataFrame(cloud, SCHEMA), k=8, part=60, salted=200, cover=cover, most=most)
+    got = {r.row_id: list(r.near) for r in found.collect()}
     assert got == brute(cloud, 8)
 
 
