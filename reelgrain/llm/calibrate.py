@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelgrain.llm.graphs import join_unique
 from reelgrain.sources.scratch import Scratch
 from reelgrain.sources.tables import latest
 
@@ -160,10 +161,11 @@ def sample(composed: DataFrame, targets: DataFrame, fraction: int = FRACTION, se
     scratch = Scratch(composed.sparkSession, "sample")
     entries, cells = calibrated(composed, targets, fraction)
     cells = scratch.write(cells)
-    p = cells.where("entries > 0 and expected > 0").select("run", "robot", (F.col("expected") / F.col("entries")).alias("probability"), F.ceil(F.col("entries") / CHUNK).cast("int").alias("chunks"))
-    # one row per run and target: joined by broadcast only if Spark measures it as small, else by AQE's skew join
-    units = entries.join(p, ["run", "robot"])
-    units = units.select("run", "robot", "image_id", "k", "probability", F.col("probability").alias("p"), F.pmod(F.xxhash64("image_id", "k"), F.col("chunks")).cast("int").alias("chunk"))
+    p = cells.where("entries > 0 and expected > 0").select("run", "robot", (F.col("expected") / F.col("entries")).alias("probability"), F.ceil(F.col("entries") / CHUNK).cast("int").alias("chunks"), "entries")
+    total = cells.agg(F.sum("entries")).first()[0] or 0
+    keyed = p.select(F.struct("run", "robot").alias("cell"), "probability", "chunks", "entries")
+    units = join_unique(entries.where("robot is not null").select(F.struct("run", "robot").alias("cell"), "image_id", "k"), keyed, "cell", "entries", total)
+    units = units.select("cell.run", "cell.robot", "image_id", "k", "probability", "chunks").select("run", "robot", "image_id", "k", "probability", F.col("probability").alias("p"), F.pmod(F.xxhash64("image_id", "k"), F.col("chunks")).cast("int").alias("chunk"))
     shape = "run string, robot string, image_id long, k int, probability double, p double, chunk int"
     first = scratch.write(units.groupBy("run", "robot", "chunk").applyInPandas(_duels(["run", "robot", "chunk"], seed), shape))
     second = first.where("p < 1").groupBy("run", "robot").applyInPandas(_duels(["run", "robot"], seed + 1), shape)
