@@ -14,6 +14,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """Results read these tables until the program ends; then they go, if the session still runs."""
+    for spark, root in _roots:
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, root)
+        except Exception:  # noqa: BLE001 - a session that is gone can't delete; the folder's owner does
+            return
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +51,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        _roots.append((spark, self.root))
 
     def write(self, df: DataFrame) -> DataFrame:
         """``df`` written as parquet and read again: its lineage ends here."""
@@ -42,19 +59,15 @@ class Scratch:
         path = f"{self.root}/{self._n:03d}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        out._scratch = self  # keeps id(out) valid for drop
+        out._scratch_path = path
         return out
 
     def path_of(self, df: DataFrame) -> str:
         """Folder of a table returned by ``write``."""
-        return self._paths[id(df)]
+        return df._scratch_path
 
     def drop(self, df: DataFrame | None) -> None:
         """Delete the files behind a table returned by ``write``. Unknown tables are left alone."""
-        path = self._paths.pop(id(df), None)
-        if path is None:
-            return
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        path = getattr(df, "_scratch_path", None)
+        if path is not None:
+            _delete(self.spark, path)
