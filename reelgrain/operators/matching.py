@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelgrain.functions.geometry import iou
+
 
 def greedy_pairs(cost: np.ndarray) -> list[tuple[int, int]]:
     """Cheapest finite pair first, its row and column struck out; ties to the first row, then column."""
@@ -25,21 +27,22 @@ def greedy_pairs(cost: np.ndarray) -> list[tuple[int, int]]:
 def greedy_assign(costs: DataFrame, keys: list[str], left: str, right: str, cost: str) -> DataFrame:
     """``keys, left, right, cost`` of the greedy assignment per key, from a table of allowed pairs.
 
-    Groups are the pairs of one frame or image. Null costs and costs that aren't finite are not allowed.
+    The pairs of one frame or image are few: they are sorted as an array and folded inside the JVM, so millions of groups
+    cost no Python call each. Null costs and costs that aren't finite are not allowed; ties go to the smaller left, then
+    right.
     """
-    schema = costs.select(*keys, left, right, F.col(cost).cast("double").alias(cost)).schema
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[np.isfinite(pdf[cost].astype(float))].sort_values([cost, left, right])
-        used_l, used_r, keep = set(), set(), []
-        for i, a, b in zip(pdf.index, pdf[left], pdf[right]):
-            if a not in used_l and b not in used_r:
-                used_l.add(a)
-                used_r.add(b)
-                keep.append(i)
-        return pdf.loc[keep]
-
-    return costs.where(F.col(cost).isNotNull()).select(*schema.names).groupBy(*keys).applyInPandas(assign, schema)
+    c = F.col(cost).cast("double")
+    fine = costs.where(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    pair = F.struct(c.alias("c"), F.col(left).alias("l"), F.col(right).alias("r"))
+    groups = fine.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
+    kind = groups.schema["_pairs"].dataType.simpleString()
+    taken = F.aggregate(
+        "_pairs",
+        F.array().cast(kind),
+        lambda kept, p: F.when(F.exists(kept, lambda k: (k["l"] == p["l"]) | (k["r"] == p["r"])), kept).otherwise(F.concat(kept, F.array(p))),
+    )
+    each = groups.select(*keys, F.explode(taken).alias("_k"))
+    return each.select(*keys, F.col("_k.l").alias(left), F.col("_k.r").alias(right), F.col("_k.c").alias(cost))
 
 
 def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,9 +56,9 @@ def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def match_in_order(truth: np.ndarray, found: np.ndarray, least: float = 0.5) -> list[int]:
     """For each true box in order the best unused found box (ties: the later), -1 below ``least``; only hits are used up."""
-    iou = box_iou(truth, found) if len(truth) and len(found) else np.zeros((len(truth), len(found)))
+    overlap = box_iou(truth, found) if len(truth) and len(found) else np.zeros((len(truth), len(found)))
     free, out = np.ones(len(found), bool), []
-    for row in iou:
+    for row in overlap:
         open_ = np.where(free, row, -1.0)
         best = len(open_) - 1 - int(np.argmax(open_[::-1])) if len(open_) else -1
         hit = best >= 0 and open_[best] >= least
@@ -94,18 +97,20 @@ def detections_matched(truth: DataFrame, found: DataFrame, keys: list[str], leas
 
 
 def suppress(df: DataFrame, keys: list[str], order: list[str], box: str, most: float = 0.7) -> DataFrame:
-    """Rows kept by greedy suppression in scan order: one overlapping a kept row by more than ``most`` is dropped."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        boxes = np.array([list(b) for b in pdf[box]], float).reshape(-1, 4)
-        kept: list[int] = []
-        for i in range(len(boxes)):
-            if not kept or box_iou(boxes[i : i + 1], boxes[kept]).max() <= most:
-                kept.append(i)
-        return pdf.loc[kept]
-
-    return df.where(F.col(box).isNotNull()).groupBy(*keys).applyInPandas(keep, df.schema)
+    """Rows kept by greedy suppression in scan order: one overlapping a kept row by more than ``most`` is dropped.
+
+    The rows of a group are few (an image's boxes); they are folded as an array inside the JVM. Rows without box are
+    dropped.
+    """
+    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(box).alias("box"), F.struct(*df.columns).alias("row"))
+    groups = df.where(F.col(box).isNotNull()).groupBy(F.struct(*keys).alias("_group")).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+    kind = groups.schema["_rows"].dataType.simpleString()
+    kept = F.aggregate(
+        "_rows",
+        F.array().cast(kind),
+        lambda out, i: F.when(F.exists(out, lambda k: iou(k["box"], i["box"]) > most), out).otherwise(F.concat(out, F.array(i))),
+    )
+    return groups.select(F.explode(F.transform(kept, lambda k: k["row"])).alias("_r")).select("_r.*")
 
 
 def covered_suppress(masks: list[np.ndarray], most: float = 0.5) -> list[int]:
