@@ -23,7 +23,7 @@ from reelgrain.llm.graphs import join_unique
 from reelgrain.sources.scratch import Scratch
 from reelgrain.sources.tables import latest
 
-CHUNK = 65_536
+CHUNK = 32_768
 FRACTION = 5
 SEED = 7
 EPS = 1e-7
@@ -116,21 +116,24 @@ def pivotal(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return p
 
 
-def _duels(keys: list[str], seed: int):
+def _duels(keys: list[str], seed: int, shuffled: bool = False):
+    """Duels within each ``keys`` of the rows given, in order or, ``shuffled``, in random order; losers are dropped."""
+
     def duel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["robot", "image_id", "k"], ignore_index=True)
-        at = pd.util.hash_array(np.array(["\x1f".join(str(pdf[c].iloc[0]) for c in keys)], object))[0]
-        rng = np.random.default_rng([seed, int(at)])
-        if len(keys) == 3:  # in the chunks the order of duels is random
-            pdf = pdf.iloc[rng.permutation(len(pdf))].reset_index(drop=True)
-        pdf["p"] = pivotal(pdf["p"].to_numpy(float), rng)
+        p = pdf["p"].to_numpy(float).copy()
+        for name, rows in pdf.groupby(keys, sort=True).indices.items():
+            name = name if isinstance(name, tuple) else (name,)
+            at = pd.util.hash_array(np.array(["\x1f".join(map(str, name))], object))[0]
+            rng = np.random.default_rng([seed, int(at)])
+            order = rows[rng.permutation(len(rows))] if shuffled else rows
+            p[order] = pivotal(p[order], rng)
+        pdf["p"] = p
         return pdf[pdf["p"] > 0]
 
     return duel
 
 
-
-
 def calibrated(composed: DataFrame, targets: DataFrame, fraction: int = FRACTION) -> tuple[DataFrame, DataFrame]:
     """``(entries, cells)``: the entries, and per run and target robot its moments and expected sample size."""
     entries = entries_of(composed)
@@ -165,12 +168,14 @@ def sample(composed: DataFrame, targets: DataFrame, fraction: int = FRACTION, se
     total = cells.agg(F.sum("entries")).first()[0] or 0
     keyed = p.select(F.struct("run", "robot").alias("cell"), "probability", "chunks", "entries")
     units = join_unique(entries.where("robot is not null").select(F.struct("run", "robot").alias("cell"), "image_id", "k"), keyed, "cell", "entries", total)
-    units = units.select("cell.run", "cell.robot", "image_id", "k", "probability", "chunks").select("run", "robot", "image_id", "k", "probability", F.col("probability").alias("p"), F.pmod(F.xxhash64("image_id", "k"), F.col("chunks")).cast("int").alias("chunk"))
-    shape = "run string, robot string, image_id long, k int, probability double, p double, chunk int"
-    first = scratch.write(units.groupBy("run", "robot", "chunk").applyInPandas(_duels(["run", "robot", "chunk"], seed), shape))
-    second = first.where("p < 1").groupBy("run", "robot").applyInPandas(_duels(["run", "robot"], seed + 1), shape)
+    units = units.select("cell.run", "cell.robot", "image_id", "k", "probability", "chunks").select("run", "robot", "image_id", "k", "probability", F.col("probability").alias("p"), F.pmod(F.xxhash64("image_id", "k"), F.col("chunks")).cast("int").alias("chunk"), (F.col("chunks") > 1).alias("parted"))
+    shape = "run string, robot string, image_id long, k int, probability double, p double, chunk int, parted boolean"
+    # the categories of a run duel in one call per chunk: at most CHUNK units of each category
+    first = scratch.write(units.groupBy("run", "chunk").applyInPandas(_duels(["run", "robot", "chunk"], seed, True), shape))
+    second = first.where("p < 1 and parted").groupBy("run", "robot").applyInPandas(_duels(["run", "robot"], seed + 1), shape)
     second = scratch.write(second)
-    third = second.where("p < 1").groupBy("run").applyInPandas(_duels(["run"], seed + 2), shape)
+    open_ = first.where("p < 1 and not parted").unionByName(second.where("p < 1"))
+    third = open_.groupBy("run").applyInPandas(_duels(["run"], seed + 2), shape)
     drawn = scratch.write(first.where("p = 1").unionByName(second.where("p = 1")).unionByName(third.where("p > 0.5")).select("run", "robot", "image_id", "k", "probability"))
     got = drawn.groupBy("run", "robot").agg(F.count(F.lit(1)).alias("drawn"))
     report = cells.join(got, ["run", "robot"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
