@@ -140,3 +140,22 @@ def plate_check(pixels: DataFrame, keys: list[str], target: dict[str, tuple[floa
         d = F.hypot(F.median(F.when(on, F.col("a"))) - a, F.median(F.when(on, F.col("b"))) - b)
         aggs.append(F.when(F.count_if(on) > least, d).alias(f"{paint}_off"))
     return pixels.groupBy(*keys).agg(*aggs)
+
+
+def visible_boxes(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, box, visible, whole, share`` of placed robots from their pixels (``x, y, seen``).
+
+    The box is that of the seen pixels (inclusive maxima; null if none is seen); ``share`` is seen of whole.
+    """
+    seen = lambda c: F.when(F.col("seen"), F.col(c))
+    out = pixels.groupBy(*keys).agg(
+        F.min(seen("x")).alias("x0"), F.min(seen("y")).alias("y0"), F.max(seen("x")).alias("x1"), F.max(seen("y")).alias("y1"),
+        F.count_if("seen").alias("visible"), F.count(F.lit(1)).alias("whole"),
+    )
+    box = F.when(F.col("visible") > 0, F.array("x0", "y0", "x1", "y1"))
+    return out.select(*keys, box.alias("box"), "visible", "whole", (F.col("visible") / F.col("whole")).alias("share"))
+
+
+def accepted_layout(robots: DataFrame, image: str, seen: str, whole: str, least: float = 0.45) -> DataFrame:
+    """Images none of whose robots is seen by less than ``least`` of its whole."""
+    return robots.groupBy(image).agg(F.bool_and(F.coalesce(F.col(seen) >= least * F.col(whole), F.lit(False))).alias("ok")).where("ok").select(image)

@@ -57,3 +57,19 @@ def stratified(df: DataFrame, keys: list[str], id_: str, k: int, seed: int) -> D
     """``k`` rows per key by hash order; a group limit keeps k rows per task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), id_), id_)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def pool_avoiding(pool: DataFrame, group: str, clip: str, avoid: str) -> DataFrame:
+    """The pool without groups whose first member (by name) is from the clip to avoid."""
+    first = pool.where(F.col(group).isNotNull()).groupBy(group).agg(F.min_by(clip, "file").alias("_c"))
+    return pool.join(first.where(F.coalesce(F.col("_c") != avoid, F.lit(True))).select(group), group, "left_semi")
+
+
+def meeting(rows: DataFrame, id_: str, covered: Column, dx: Column, dy: Column, reach: tuple[float, float] = (220.0, 90.0), least: float = 0.6, steps: int = 5) -> DataFrame:
+    """``id_, step``: of ``steps`` places along a line (``step`` 0 ...) the first that covers enough and stays in reach.
+
+    The column expressions may use ``step``. Rows without such a place give none.
+    """
+    tried = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    ok = (covered >= least) & (F.abs(dx) <= reach[0]) & (F.abs(dy) <= reach[1])
+    return tried.where(ok).groupBy(id_).agg(F.min("step").alias("step"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelgrain.functions import geometry as g
 from reelgrain.functions import numeric as num
-from reelgrain.operators import aggregates, folds, joins, matching, rules, sequences, tracking
+from reelgrain.operators import aggregates, folds, grouping, joins, matching, rules, sequences, tracking
 from reelgrain.plans import base
 from reelgrain.plans.base import FRAMES, OUTLINES
 from reelgrain.sources.tables import clean_clip, table
@@ -412,3 +412,16 @@ def stream_track(spark, d):
     staged = scratch.write(tracking.frames_of(base.blobs(spark, d)))
     stream = spark.readStream.schema(staged.schema).parquet(scratch.path_of(staged))
     return tracks.run_all(tracks.track_stream(stream), scratch.root, "tracks")
+
+
+@query()
+def two_groups(spark, d):
+    """Which way round the two outlines of a frame belong, by mean, size and shape within their clip."""
+    f = base.frames(spark, d, "robots").where("size(robots) = 2")
+    r = lambda i: F.get("robots", F.lit(i))
+    b = lambda i, j: F.get(r(i)["bbox"], F.lit(j))
+    tall = lambda i: (b(i, 3) - b(i, 1)) / F.greatest(b(i, 2) - b(i, 0), F.lit(1))
+    size = lambda i: F.ln(F.greatest(r(i)["area"], F.lit(1))) - 2 * F.ln(F.greatest(b(i, 3), F.lit(60)))
+    pairs = f.select("clip", "frame", *[F.array(r(i)["mean"], size(i), tall(i)).alias(f"f{i}") for i in (0, 1)], *[r(i)["area"].alias(f"a{i}") for i in (0, 1)])
+    whole = " and ".join(f"forall(f{i}, v -> v is not null)" for i in (0, 1))
+    return grouping.two_groups(pairs.where(whole), ["clip"], ["frame"], 3, 0)
