@@ -14,7 +14,7 @@ def split(text, kind="note"):
     "want",
     [
         ["R. T. and J. M. said it (see Fig. 12.) at 11 a.m. on the set.", "No. 20 of the list was lost.", "No.", "It was 1.54."],
-        ["extract.py wrote 19 rows.", "run.json is fine.", "iPad view 2 stopped at 6 p.m.", "The U.K. camera, i.e. the old one, did not."],
+        ["reader.py wrote 19 rows.", "run.json is fine.", "iPad view 2 stopped at 6 p.m.", "The U.K. camera, i.e. the old one, did not."],
         ['"Which of them touched it?" asked the reviewer.', 'They asked, "Was it set aside?"', "The share fell from 2.74 to 1.23... but it held."],
         ["“Keep the view.”", "Fig. 7 shows it.", "We kept A, B, etc.", "It (it missed the mask! twice, in fact) failed?!", "Never run it!"],
         ["Dr. K. Moor schrieb am 9. Mai, vgl. Abb. 6.", "Die 9. Prüfung um 0:41 Uhr betraf ihn.", "„Es passt. Bitte prüfen.“ stand am Rand.", "Es waren 1,10 m usw.", "D. h. ja."],
