@@ -378,6 +378,13 @@ def even_rounding(spark, d):
     return o.groupBy(num.even_round(F.col("on_change"), 1).alias("rounded")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def even_rounding_all(spark, d):
+    """All outlines by their rounded share of changed pixels, those at or near a tie by the exact binary value."""
+    o = base.outlines(spark, d).where("on_change is not null")
+    return o.groupBy(num.even_round(F.col("on_change"), 1).alias("rounded")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def greedy_match(spark, d):
     """Outlines of each kept frame matched one to one with those of the frame before, cheapest pair first."""
