@@ -58,6 +58,8 @@ _CLOSERS = {"”": 1, "»": 3, "›": 3, "」": 4, "』": 4}
 _EVENT = re.compile(
     rf"[\r\n\v\f\x1c-\x1e\x85\u2028\u2029][\s\ufeff]*|(?<=[฀-๿])[\s\ufeff]+(?=[฀-๿])|[{_END}]+(?:[ \u00a0\u202f\r\n]{{0,3}}[»›]|[{re.escape(_CLOSE)}])*|[\"“”„«»‹›「」『』()\[\]（）【】]"
 )
+# Characters that may stand in an event; after any other one, matching from there finds the events of the whole text.
+_IN_EVENT = re.compile(rf"[\s\ufeff{_END}{re.escape(_CLOSE)}\"“”„«»‹›「」『』()\[\]（）【】]")
 _BREAKS = re.compile(r"\r\n|[\r\n\v\f\x1c-\x1e\x85\u2028\u2029]")
 _MARK = re.compile(r"(?:#{1,6}|[-*+•–]|(\d{1,3})[.)])(?:[ \t\u00a0]+|$)")
 _SPACE = re.compile(r"[\s\ufeff]*")
@@ -153,10 +155,15 @@ def events(text: str, lines: bool, lower: bool, start: int = 0, stop: int | None
     if start == 0:
         at = _SPACE.match(text).end()
         begin(0, 0, at, BLANK)
-    for m in _EVENT.finditer(text, start):
+    sync = start
+    while sync > 0 and _IN_EVENT.match(text, sync - 1):
+        sync -= 1
+    for m in _EVENT.finditer(text, sync):
         a, b = m.span()
         if a >= stop:
             break
+        if a < start:  # it belongs to the chunk before
+            continue
         c = text[a]
         if c.isspace():
             end = a

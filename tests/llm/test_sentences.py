@@ -86,3 +86,19 @@ def test_chunks_equal_the_whole(spark):
     assert got == sorted((i, a, b) for i, t, k in rows if i is not None and t is not None for a, b in s.sentences_of(t, k))
     assert s.sentences(df.limit(0)).count() == 0
     assert len(np.unique(s.MOVE)) <= s.N_STATES
+
+
+@pytest.mark.parametrize("mark", ["... ", "...... ", "?!... ", ".” ", '." ', ".\u00a0» ", "\n\n\n", " \r\n \n- ", "……", "。」』"])
+def test_a_border_inside_an_event_changes_nothing(mark):
+    text = f"The share “fell ({'x' * 600} from 2.74 to 1.23{mark}but it held) there.” It was so. «Yes{mark}it was» said one. Next{mark}one."
+    for kind in ("note", "job_log"):
+        whole = s.events(text, kind == s.LINES, False)
+        for border in range(600, len(text)):
+            halves = s.events(text, kind == s.LINES, False, 0, border) + s.events(text, kind == s.LINES, False, border)
+            assert halves == whole, (border, text[border - 5 : border + 5])
+
+
+def test_chunked_ellipsis_equals_the_whole(spark):
+    rows = [(i, "a" * (1000 + i) + " is 1.23... but it held. Then on." + " More of it." * 20, "note") for i in range(40)]
+    got = s.sentences(spark.createDataFrame(rows, "doc_id long, text string, doc_type string"), chunk=1024).collect()
+    assert sorted(map(tuple, got)) == sorted((i, a, b) for i, t, k in rows for a, b in s.sentences_of(t, k))
