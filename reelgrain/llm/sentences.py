@@ -1,17 +1,23 @@
 """Problem 8: sentences of every document, whatever its language, script and type.
 
-Method: a finite transducer. Local rules (abbreviations, numbers, file names, ellipses, what follows a closing quote)
-look at a bounded stretch around a mark and turn a text into events; the transducer reads the events. Its state is the
-kind of the open quote, the depth of open brackets and whether the line is a heading or list item; an end mark ends a
-sentence only where no quote or bracket is open. Whether an opening mark is ever closed in its paragraph is found by a
-second, right-to-left transducer whose state is the set of closers ahead; an opening mark without one is ignored.
-Texts longer than ``CHUNK`` are cut into chunks, each chunk is summed up as the state-transition function of its events,
-and the functions are composed by a parallel prefix scan (once from the right, once from the left); only then are the
-chunks' sentences put out. A long document is so spread over many tasks.
+Method: rules compiled into finite transducers. A mark is read with three small alphabets: the class of what stands
+before it (abbreviation, initial, ordinal, ...), the kind of mark, and the class of what follows (digit, upper case,
+a word that carries on, ...); the rules are compiled once into the table ``STOPS`` over these classes, which says
+whether a sentence may end there, and the answer is the event the transducer reads. Its state is the kind of the open
+quote, the depth of open brackets and whether the line is a heading or list item; an end mark ends a sentence only where
+no quote or bracket is open. Whether an opening mark is ever closed in its paragraph is found by a second, right-to-left
+transducer whose state is the set of closers ahead; an opening mark without one is ignored.
+
+Texts longer than ``CHUNK`` are cut into chunks in one pass, always between a letter and a character that goes on with no
+word or file name: no event spans such a border and no class looks across it but for the few characters a chunk is given
+with it, so chunks give exactly the events of the whole text. A chunk is summed up as the state-transition function of its
+events, and the functions are composed by a prefix scan (once from the right, once from the left) over one small row a
+chunk; only then are the chunks' sentences put out. A long document is so spread over many tasks, at a cost that grows
+with its length.
 
 Defined results: null and blank texts (white space, byte order marks) give no row; null ids are left out; a null
 ``doc_type`` counts as prose; a heading or list mark without text gives no row; repeated rows give their rows once
-each; an empty table gives an empty result; other columns are ignored. Rules look at most ``CONTEXT`` characters far.
+each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +33,6 @@ from pyspark.sql import functions as F
 from reelgrain.sources.scratch import Scratch
 
 CHUNK = 16_384
-CONTEXT = 512
 LINES = "job_log"
 
 # Abbreviations after which a sentence goes on, whatever follows (lower case, without the last stop).
@@ -58,112 +63,221 @@ _CLOSERS = {"”": 1, "»": 3, "›": 3, "」": 4, "』": 4}
 _EVENT = re.compile(
     rf"[\r\n\v\f\x1c-\x1e\x85\u2028\u2029][\s\ufeff]*|(?<=[฀-๿])[\s\ufeff]+(?=[฀-๿])|[{_END}]+(?:[ \u00a0\u202f\r\n]{{0,3}}[»›]|[{re.escape(_CLOSE)}])*|[\"“”„«»‹›「」『』()\[\]（）【】]"
 )
-# Characters that may stand in an event; after any other one, matching from there finds the events of the whole text.
-_IN_EVENT = re.compile(rf"[\s\ufeff{_END}{re.escape(_CLOSE)}\"“”„«»‹›「」『』()\[\]（）【】]")
 _BREAKS = re.compile(r"\r\n|[\r\n\v\f\x1c-\x1e\x85\u2028\u2029]")
+_LINE = re.compile(r"[\r\n\v\f\x1c-\x1e\x85\u2028\u2029][\s\ufeff]*")
 _MARK = re.compile(r"(?:#{1,6}|[-*+•–]|(\d{1,3})[.)])(?:[ \t\u00a0]+|$)")
 _SPACE = re.compile(r"[\s\ufeff]*")
-_FILE = re.compile(r"\w+(?:[._-]\w+)*\.(?:py|json|md|txt|ply|png|jpe?g|csv|ya?ml|log|sh|mp4|out)(?![A-Za-z0-9_])|\w+_\w|[a-z]+[A-Z]")
+_FILE = re.compile(r"\w+(?:[.-]\w+)*\.(?:py|json|md|txt|ply|png|jpe?g|csv|ya?ml|log|sh|mp4|out)(?![A-Za-z0-9_])|\w+_\w|[a-z]+[A-Z]")
 _WORD = re.compile(r"[^\W\d_]+")
-_TOKEN = re.compile(r"[^\s\"“”„«»‹›「」『』()\[\]（）【】]*$")
-_ORDINAL = re.compile(r"(\w+)\s+\d{1,2}$")
-
-
-def _goes_on_after(text: str, at: int, lower: bool, words_only: bool) -> bool:
-    """Whether what stands at ``at`` (no space) carries on the sentence before it."""
-    if at >= len(text):
-        return False
-    c = text[at]
-    if not c.isalpha():
-        return c in ",;:)]}،，、；：" or (c.isdigit() and not words_only)
-    if c.isupper() or _FILE.match(text, at):
-        return False
-    if c.islower():
-        word = _WORD.match(text, at).group()
-        return word in GOES_ON if lower or words_only else True
-    return not words_only  # scripts without case
-
-
-def _stops(text: str, start: int, stop: int, end: int, lower: bool) -> bool:
-    """Whether the marks text[start:stop], with closers to ``end``, may end a sentence."""
-    marks = text[start:stop]
-    nxt = text[end] if end < len(text) else ""
-    at = _SPACE.match(text, end).end()
-    if at >= len(text) or len(_BREAKS.findall(text, end, at)) > 1:
+# A border: after a letter, before a character with which no word, file name or mark goes on.
+_BORDER = re.compile(r"(?<=[^\W\d_])(?=[^\w.\-])")
+_LEAD = "([{«\"“„*_`"  # may stand before an abbreviation
+_APART = frozenset("\"“”„«»‹›「」『』()[]（）【】\ufeff")  # end a token, as white space does
+_LONGEST = max(len(w) for w in NEVER | OFTEN | MOSTLY) + 1
+
+# What stands before a full stop; CAPITAL variants end in a capital letter or sign.
+(PLAIN, EMPTY, GOES_NEVER, INITIAL, NUMBER, GOES_OFTEN, GOES_MOSTLY, HOUR, DAY, COUNT) = range(10)
+CAPITAL = 10
+# The mark: one full stop, an ellipsis, another mark; each without and with a closer behind it.
+STOP, DOTS, OTHER = range(3)
+# What follows: glued to a full stop, or after white space; FILE variants begin a file name.
+(TIGHT_LOW, TIGHT, NOTHING, DIGIT, COMMA, CLOSER, OPENER, UPPER, CARRIER, LOWER, LETTER, SIGN) = range(12)
+FILE = 12
+
+
+def _rule(before: int, mark: int, closed: bool, after: int, lower: bool) -> bool:
+    """Whether a sentence may end at a mark, from the classes around it; ``lower``: the text has no upper case."""
+    file, after = after >= FILE, after % FILE
+    capital, before = before >= CAPITAL, before % CAPITAL
+    if after == NOTHING:
         return True
-    closed = end > stop
-    if marks == ".":
-        token = _TOKEN.search(text, max(0, start - 40), start).group()
-        low = token.lower().lstrip("([{«\"“„*_`")
-        if not closed and (nxt.isalnum() or nxt == "_" or nxt == "-"):
-            if low in NEVER or not (nxt.isupper() or not (nxt.islower() or nxt.isdigit() or nxt in "_-")):
-                return False
-            return bool(token) and (token[-1].islower() or token[-1].isdigit() or not token[-1].isascii())
-        if low in NEVER or (len(low) == 1 and low.isalpha()) or (len(low) > 1 and low[-2] in ".-" and low[-1].isalpha() and low not in OFTEN and low not in MOSTLY):
+    low_word = after in (CARRIER, LOWER) and not file
+    if mark == STOP:
+        if after == TIGHT_LOW:
             return False
-        after = text[at]
-        if low == "no":
-            return not after.isdigit()
-        if low in OFTEN:
-            return not (after.islower() and not _FILE.match(text, at)) and after not in ",;:)"
-        if low in MOSTLY:
-            if not (after.islower() and not _FILE.match(text, at)):
-                return after not in ",;:)"
-            return lower or not _goes_on_after(text, at, lower, low != "p.m")  # without case, what follows tells nothing
-        if token.isdigit() and len(token) <= 2:
-            m = _ORDINAL.search(text, max(0, start - 24), start)
-            if m and m.group(1).lower() in ORDINAL and after.isalpha():
-                return False
-    elif set(marks) <= {".", "…"}:  # an ellipsis
-        if not closed:
-            c = text[at]
-            return c.isupper() or bool(_FILE.match(text, at)) or c in "\"“„«¿¡「"
+        if after == TIGHT:
+            return not capital and before not in (GOES_NEVER, EMPTY)
+        if before in (GOES_NEVER, INITIAL) or (before == DAY and after in (UPPER, CARRIER, LOWER, LETTER)):
+            return False
+        if before in (NUMBER, COUNT):
+            return after != DIGIT
+        if before in (GOES_OFTEN, GOES_MOSTLY, HOUR) and after == COMMA:
+            return False
+        if before == GOES_OFTEN:
+            return not low_word
+        if before in (GOES_MOSTLY, HOUR):  # in a text without case, what follows tells nothing
+            return not low_word or lower or not (after == CARRIER or (before == HOUR and not lower))
+    if mark == DOTS and not closed:
+        return file or after in (UPPER, OPENER)
     if closed:
-        return not _goes_on_after(text, at, lower, False)
+        goes_on = after in (COMMA, CLOSER, DIGIT) or (not file and (after in (CARRIER, LETTER) or (after == LOWER and not lower)))
+        return not goes_on
     return True
 
 
-def _starts_item(text: str, line: int, at: int) -> re.Match | None:
-    """The heading or list mark at ``at``; a number counts only after a blank line, an item or a finished sentence."""
-    m = _MARK.match(text, at)
-    if m is None or m.group(1) is None:
-        return m
-    head = text[max(0, line - CONTEXT) : line].rstrip("\r\n")
-    before = head[max(head.rfind("\n"), head.rfind("\r")) + 1 :].strip("\ufeff \t\u00a0")
-    if not before or before[-1] in _END + ":：" or before[-1] in _CLOSE or _MARK.match(before):
-        return m
-    return None
+# The rules, compiled: STOPS[lower][closed][mark][before][after].
+STOPS = [[[[[_rule(b, m, c, a, low) for a in range(2 * FILE)] for b in range(2 * CAPITAL)] for m in range(3)] for c in (False, True)] for low in (False, True)]
 
 
-def events(text: str, lines: bool, lower: bool, start: int = 0, stop: int | None = None) -> list[tuple[int, int, int]]:
+def _back(text: str, at: int) -> int:
+    """Where what a rule may read before ``at`` begins: the token, or its last characters and all lead marks before."""
+    k = at
+    while k > 0:
+        c = text[k - 1]
+        if c.isspace() or c in _APART or (at - k > _LONGEST and c not in _LEAD):
+            break
+        k -= 1
+    return k
+
+
+def _before(text: str, at: int, begun: int) -> int:
+    """Class of what stands before the full stop at ``at``; the sentence began at ``begun`` or earlier."""
+    k = max(_back(text, at), begun)
+    token = text[k:at]
+    if (not token or token[-1].isdigit()) and _counts(text, at):
+        return COUNT
+    if not token:
+        return EMPTY
+    c = token[-1]
+    capital = 0 if c.islower() or c.isdigit() or not c.isascii() else CAPITAL
+    whole = k in (0, begun) or text[k - 1].isspace() or text[k - 1] in _APART
+    low = token.lower()
+    if whole:
+        low = low.lstrip(_LEAD)
+        if low in NEVER:
+            return GOES_NEVER + capital
+        if low == "no":
+            return NUMBER + capital
+        if low in OFTEN:
+            return GOES_OFTEN + capital
+        if low in MOSTLY:
+            return (HOUR if low == "p.m" else GOES_MOSTLY) + capital
+        if len(low) == 1 and low.isalpha():
+            return INITIAL + capital
+        if len(token) <= 2 and token.isdigit() and _day(text, k):
+            return DAY
+    if len(low) > 1 and low[-2] in ".-" and low[-1].isalpha():
+        return INITIAL + capital
+    return PLAIN + capital
+
+
+def _counts(text: str, at: int) -> bool:
+    """Whether a number directly behind a Chinese or Japanese letter ends at ``at``, white space aside: such texts may be
+    spaced out anywhere."""
+    k, digits = at, 0
+    while k > 0 and (text[k - 1].isspace() or text[k - 1].isdigit()):
+        k -= 1
+        digits += text[k].isdigit()
+    return digits > 0 and k > 0 and "぀" <= text[k - 1] <= "鿿"
+
+
+def _day(text: str, at: int) -> bool:
+    """Whether a word of ORDINAL and white space stand before ``at``."""
+    k = at
+    while k > 0 and text[k - 1].isspace():
+        k -= 1
+    word = k
+    while word > 0 and k - word < 4 and (text[word - 1].isalnum() or text[word - 1] == "_"):
+        word -= 1
+    return word < k < at and text[word:k].lower() in ORDINAL
+
+
+def _after(text: str, at: int) -> int:
+    """Class of what stands at ``at``, which is no white space."""
+    c = text[at]
+    if c.isdigit():
+        base = DIGIT
+    elif c in ",;:)":
+        return COMMA
+    elif c in "]}،，、；：":
+        return CLOSER
+    elif c in "\"“„«¿¡「":
+        return OPENER
+    elif not c.isalpha():
+        base = SIGN
+        if c != "_":
+            return SIGN
+    elif c.isupper():
+        return UPPER
+    elif not c.islower():
+        base = LETTER
+    else:
+        base = CARRIER if _WORD.match(text, at).group() in GOES_ON else LOWER
+    return base + FILE if _FILE.match(text, at) else base
+
+
+def _stops(text: str, start: int, stop: int, end: int, lower: bool, begun: int) -> bool:
+    """Whether the marks text[start:stop], with closers to ``end``, may end a sentence that began at ``begun`` or earlier."""
+    marks = text[start:stop]
+    mark = STOP if marks == "." else DOTS if set(marks) <= {".", "…"} else OTHER
+    at = _SPACE.match(text, end).end()
+    if at >= len(text) or (at > end and len(_BREAKS.findall(text, end, at)) > 1):
+        return True
+    if mark == STOP and end == stop and at == end and (text[end].isalnum() or text[end] in "_-"):
+        c = text[end]
+        after = TIGHT_LOW if not c.isupper() and (c.islower() or c.isdigit() or c in "_-") else TIGHT
+    else:
+        after = _after(text, at)
+    return STOPS[lower][end > stop][mark][_before(text, start, begun) if mark == STOP else PLAIN][after]
+
+
+def _marked(text: str, at: int) -> bool:
+    """Whether a line whose text begins at ``at`` is a heading or list item, or looks like one."""
+    return _MARK.match(text, at) is not None
+
+
+def cut(text: str, size: int) -> list[tuple[int, int, bool]]:
+    """``(start, stop, marked)`` of chunks of at least ``size`` characters (but the last); ``marked``: see ``events``."""
+    out, at, marked = [], 0, _marked(text, _SPACE.match(text).end())
+    while True:
+        m = _BORDER.search(text, at + size)
+        stop = m.start() if m else len(text)
+        out.append((at, stop, marked))
+        if m is None:
+            return out
+        line = None
+        for line in _LINE.finditer(text, at, stop):
+            pass
+        if line is not None:
+            marked = _marked(text, line.end())
+        at = stop
+
+
+def window(text: str, start: int, stop: int) -> tuple[int, str]:
+    """``(base, piece)``: the chunk text[start:stop] with what the rules may read before it and the character behind it."""
+    base = min(_back(text, start), max(0, start - _LONGEST))
+    return base, text[base : stop + 1]
+
+
+def events(text: str, lines: bool, lower: bool, start: int = 0, stop: int | None = None, marked: bool = False) -> list[tuple[int, int, int]]:
     """``(symbol, end, next)`` of the events that begin in text[start:stop].
 
     ``end`` is where a sentence ending here ends, ``next`` where the following one begins. The text's own start and end
-    are BLANK or ITEM events.
+    are BLANK or ITEM events. ``start`` and ``stop`` are 0, the length or borders as of ``cut``; ``marked`` says whether
+    the line ``start`` lies in begins like a heading or list item.
     """
     size = len(text)
     stop = size if stop is None else stop
     out = []
 
-    def begin(line: int, end: int, at: int, symbol: int) -> None:
-        mark = None if lines else _starts_item(text, line, at)
-        if mark is None:
-            out.append((symbol, end, at))
-        else:
+    def begin(free: bool, end: int, at: int, symbol: int) -> None:
+        """A line's text begins; a number is a list mark only after a blank line, an item or a finished sentence."""
+        nonlocal marked
+        mark = None if lines else _MARK.match(text, at)
+        item = mark is not None and (mark.group(1) is None or free or marked or text[end - 1] in _END + ":：" or text[end - 1] in _CLOSE)
+        marked = mark is not None
+        if item:
             out.append((ITEM, end, _SPACE.match(text, mark.end()).end() if mark.end() < size else size))
+        else:
+            out.append((symbol, end, at))
 
+    begun = start - 1  # the end of the last mark that may end a sentence
     if start == 0:
-        at = _SPACE.match(text).end()
-        begin(0, 0, at, BLANK)
-    sync = start
-    while sync > 0 and _IN_EVENT.match(text, sync - 1):
-        sync -= 1
-    for m in _EVENT.finditer(text, sync):
+        begin(True, 0, _SPACE.match(text).end(), BLANK)
+    for m in _EVENT.finditer(text, start):
         a, b = m.span()
         if a >= stop:
             break
-        if a < start:  # it belongs to the chunk before
-            continue
         c = text[a]
         if c.isspace():
             end = a
@@ -171,13 +285,13 @@ def events(text: str, lines: bool, lower: bool, start: int = 0, stop: int | None
                 end -= 1
             breaks = len(_BREAKS.findall(text, a, b))
             if b >= size or lines and breaks or breaks > 1:
-                begin(b, end, b, BLANK)
+                begin(True, end, b, BLANK)
             elif not breaks:
                 if not lines:
                     out.append((END, end, b))
             else:
                 thai = end > 0 and "฀" <= text[end - 1] <= "๿" and b < size and "฀" <= text[b] <= "๿"
-                begin(b, end, b, END if thai else NL)
+                begin(False, end, b, END if thai else NL)
                 if thai and out[-1][0] == END:  # also the end of a heading or list item
                     out.append((NL, end, b))
             continue
@@ -187,12 +301,14 @@ def events(text: str, lines: bool, lower: bool, start: int = 0, stop: int | None
             k = a
             while k < b and text[k] in _END:
                 k += 1
-            final = _stops(text, a, k, b, lower)
+            final = _stops(text, a, k, b, lower, begun)
+            begun = b if final else begun
             if k == b:
                 if final:
                     out.append((END, b, _SPACE.match(text, b).end()))
                 continue
             closers = [i for i in range(k, b) if not text[i].isspace()]
+            marked = marked and closers[0] + len(closers) == b and _BREAKS.search(text, k, b) is None
             for i in closers:
                 _quote(out, text, i, final and i == closers[-1], True)
         else:
@@ -353,24 +469,31 @@ def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "start_char": np.array(starts, np.int64), "end_char": np.array(ends, np.int64)})
 
 
-def _chunk_events(chunk: int):
-    def lex(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_PIECE = "row long, doc_id long, chunk int, base long, lead int, stop int, piece string, lines boolean, lower boolean, marked boolean, last boolean"
+
+
+def _cut(chunk: int):
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for row in pdf.itertuples():
-                lead = min(CONTEXT, row.chunk * chunk)
-                first = row.chunk == 0
-                found = events(row.piece, row.lines, row.lower, lead if not first else 0, lead + chunk)
-                base = row.chunk * chunk - lead
-                # the window's end is the text's end only in the last chunk
-                if not row.last:
-                    found = [e for e in found if e[1] < len(row.piece) or e[0] != BLANK]
-                symbols = [e[0] for e in found]
-                keep, put = right_function(symbols)
-                rows.append((row.row, row.doc_id, row.chunk, symbols, [base + e[1] for e in found], [base + e[2] for e in found], keep, put))
-            yield pd.DataFrame(rows, columns=["row", "doc_id", "chunk", "symbols", "ends", "nexts", "keep", "put"])
-
-    return lex
+            for row, doc_id, text, kind in zip(pdf["row"], pdf["doc_id"], pdf["text"], pdf["doc_type"]):
+                lower, chunks, out = text == text.lower(), cut(text, chunk), []
+                for i, (start, stop, marked) in enumerate(chunks):
+                    base, piece = window(text, start, stop)
+                    out.append((row, doc_id, i, base, start - base, stop - base, piece, kind == LINES, lower, marked, i == len(chunks) - 1))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in _PIECE.split(", ")])
+
+    return pieces
+
+
+def _chunk_events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for row in pdf.itertuples():
+            found = events(row.piece, row.lines, row.lower, row.lead, len(row.piece) if row.last else row.stop, row.marked)
+            symbols = [e[0] for e in found]
+            keep, put = right_function(symbols)
+            rows.append((row.row, row.doc_id, row.chunk, symbols, [row.base + e[1] for e in found], [row.base + e[2] for e in found], keep, put))
+        yield pd.DataFrame(rows, columns=["row", "doc_id", "chunk", "symbols", "ends", "nexts", "keep", "put"])
 
 
 def _scan_right(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -407,13 +530,17 @@ def _functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sentences that begin and end in a chunk, and per chunk with boundaries one ``edge`` row: its first sentence end and
+    the start of the sentence open at its end."""
     for pdf in batches:
         out = []
         for row in pdf.itertuples():
             symbols = list(row.symbols)
-            for i in boundaries(symbols, matched_flags(symbols, int(row.bits)), int(row.state)):
-                out.append((row.row, row.doc_id, row.chunk, i, int(row.ends[i]), int(row.nexts[i])))
-        yield pd.DataFrame(out, columns=["row", "doc_id", "chunk", "i", "end", "next"])
+            at = boundaries(symbols, matched_flags(symbols, int(row.bits)), int(row.state))
+            out += [(row.row, row.doc_id, row.chunk, False, int(row.nexts[i]), int(row.ends[j])) for i, j in zip(at, at[1:])]
+            if at:
+                out.append((row.row, row.doc_id, row.chunk, True, int(row.nexts[at[-1]]), int(row.ends[at[0]])))
+        yield pd.DataFrame(out, columns=["row", "doc_id", "chunk", "edge", "start_char", "end_char"])
 
 
 def sentences(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -422,25 +549,18 @@ def sentences(documents: DataFrame, chunk: int = CHUNK) -> DataFrame:
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text", "doc_type")
     short = docs.where(F.length("text") <= chunk).mapInPandas(_whole, "doc_id long, start_char long, end_char long")
     long = docs.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
-    size = F.length("text")
-    pieces = long.select(
-        "row", "doc_id", "text", size.alias("size"), (F.col("doc_type") == LINES).alias("lines"), (F.col("text") == F.lower("text")).alias("lower"),
-        F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int"))).alias("chunk"),
-    )
-    lead = F.least(F.lit(CONTEXT), F.col("chunk") * chunk)
-    pieces = pieces.select(
-        "row", "doc_id", "chunk", F.coalesce("lines", F.lit(False)).alias("lines"), "lower", (F.col("chunk") == F.floor((F.col("size") - 1) / chunk)).alias("last"),
-        F.substring("text", F.col("chunk") * chunk - lead + 1, lead + F.lit(chunk + CONTEXT)).alias("piece"),
-    )
+    pieces = long.mapInPandas(_cut(chunk), _PIECE)
     chunks = scratch.write(pieces.repartition("row", "chunk").mapInPandas(
-        _chunk_events(chunk), "row long, doc_id long, chunk int, symbols array<int>, ends array<long>, nexts array<long>, keep int, put int"))
+        _chunk_events, "row long, doc_id long, chunk int, symbols array<int>, ends array<long>, nexts array<long>, keep int, put int"))
     bits = chunks.select("row", "chunk", "keep", "put").groupBy("row").applyInPandas(_scan_right, "row long, chunk int, bits int")
     ready = chunks.select("row", "doc_id", "chunk", "symbols", "ends", "nexts").join(bits, ["row", "chunk"])
     ready = scratch.write(ready)
     f = ready.select("row", "chunk", "symbols", "bits").mapInPandas(_functions, "row long, chunk int, f array<int>")
     states = f.groupBy("row").applyInPandas(_scan_left, "row long, chunk int, state int")
-    marks = ready.join(states, ["row", "chunk"]).mapInPandas(_marks, "row long, doc_id long, chunk int, i int, end long, next long")
-    # boundaries of a text in order: a sentence runs from one's next to the following one's end
-    order = Window.partitionBy("row").orderBy("chunk", "i")
-    spans = marks.select("doc_id", F.lag("next").over(order).alias("start_char"), F.col("end").alias("end_char"))
-    return short.unionByName(spans.where("start_char is not null and end_char > start_char"))
+    marks = ready.join(states, ["row", "chunk"]).mapInPandas(_marks, "row long, doc_id long, chunk int, edge boolean, start_char long, end_char long")
+    marks = scratch.write(marks)
+    # a sentence over a border runs from one edge's start to the next edge's end: one row a chunk meets here
+    order = Window.partitionBy("row").orderBy("chunk")
+    edges = marks.where("edge").select("doc_id", F.lag("start_char").over(order).alias("start_char"), "end_char")
+    spans = marks.where("not edge").select("doc_id", "start_char", "end_char").unionByName(edges.where("start_char is not null"))
+    return short.unionByName(spans.where("end_char > start_char"))

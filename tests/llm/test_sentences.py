@@ -88,14 +88,50 @@ def test_chunks_equal_the_whole(spark):
     assert len(np.unique(s.MOVE)) <= s.N_STATES
 
 
-@pytest.mark.parametrize("mark", ["... ", "...... ", "?!... ", ".” ", '." ', ".\u00a0» ", "\n\n\n", " \r\n \n- ", "……", "。」』"])
-def test_a_border_inside_an_event_changes_nothing(mark):
-    text = f"The share “fell ({'x' * 600} from 2.74 to 1.23{mark}but it held) there.” It was so. «Yes{mark}it was» said one. Next{mark}one."
+def in_chunks(text, kind, chunks):
+    lower, out = text == text.lower(), []
+    for start, stop, marked in chunks:
+        base, piece = s.window(text, start, stop)
+        last = stop == len(text)
+        out += [(e, base + a, base + b) for e, a, b in s.events(piece, kind == s.LINES, lower, start - base, len(piece) if last else stop - base, marked)]
+    return out
+
+
+LONG_BLANK = "\n" * 300 + " " * 700 + "\n"
+PARTS = ["... ", "...... ", "?!... ", ".” ", '." ', ".\u00a0» ", "\n\n\n", " \r\n \n- ", "……", "。」』", LONG_BLANK, "\n1. ", "\n\n12. ", "\ufeff", "ca. 3 m ", "am" + " " * 90 + "9. Mai ", "____" * 30 + "Dr. K ",
+         "run.json ", "only, ", "he said (so. it is) ", "“It was. So” ", "no. 4 ", "word's ", "ไทย ไทย ", "只剩 2. 97。", "x" * 300 + ".py ", "etc. and ", ":\n2. item", "- ", "## ", "A. ", "Ok.Prof. O. ", "u.s. "]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_any_border_changes_nothing(seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice(PARTS) for _ in range(rng.randrange(2, 25)))
+    borders = [m.start() for m in s._BORDER.finditer(text)]
     for kind in ("note", "job_log"):
-        whole = s.events(text, kind == s.LINES, False)
-        for border in range(600, len(text)):
-            halves = s.events(text, kind == s.LINES, False, 0, border) + s.events(text, kind == s.LINES, False, border)
-            assert halves == whole, (border, text[border - 5 : border + 5])
+        whole = s.events(text, kind == s.LINES, text == text.lower())
+        for size in (1, 7, 64, 900):
+            assert in_chunks(text, kind, s.cut(text, size)) == whole
+        finest = {start: marked for start, _, marked in s.cut(text, 1)}
+        for border in rng.sample(borders, min(8, len(borders))):  # one border alone
+            marked, first = finest[border], (0, border, finest[0])
+            assert in_chunks(text, kind, [first, (border, len(text), marked)]) == whole, (border, text[border - 5 : border + 5])
+
+
+def test_borders_lie_between_a_letter_and_no_word():
+    for text in ("a" * 100, "a.b" * 50, "1 2 3 " * 30, "。" * 80, " " * 90, ""):
+        assert s.cut(text, 10) == [(0, len(text), False)]
+    text = "word, " * 5000
+    cuts = s.cut(text, 100)
+    assert [a for a, _, _ in cuts[1:]] == [b for _, b, _ in cuts[:-1]] and cuts[-1][1] == len(text)
+    assert all(100 <= b - a < 110 for a, b, _ in cuts[:-1])
+
+
+def test_marks_at_the_start_and_without_a_space():
+    assert split("\ufeffDr. K. Moor: es passt. Ja.") == ["Dr. K. Moor: es passt.", "Ja."]
+    assert split("\ufeffNo. 13 of them was lost.No. 14 was not?!Fig. 7 shows it.") == ["No. 13 of them was lost.", "No. 14 was not?!", "Fig. 7 shows it."]
+    assert split("The U.K. camera ran, i.e. the old one.Prof. O. Lind says so.") == ["The U.K. camera ran, i.e. the old one.", "Prof. O. Lind says so."]
+    assert split("只剩 2. 97。共 3 . 1帧。") == ["只剩 2. 97。", "共 3 . 1帧。"]
+    assert split("A line\n\n1. item") == ["A line", "item"]
 
 
 def test_chunked_ellipsis_equals_the_whole(spark):
