@@ -32,9 +32,10 @@ MIN_CHARS = 44
 CHAR_LANGS = ("zh", "ja")
 SHARD_WORDS = 1_000_000
 EVAL_CHARS = 16_000_000
+PLACES = 4_000_000
 HITS = "item_id long, doc_id long, kind string, item_start long, doc_start long, span long, edits int"
 
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _MARKUP = re.compile("[*`\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]")
@@ -116,12 +117,21 @@ def matches(test: np.ndarray, text: np.ndarray, seed: int, need: int, edits: int
     queries = test[ask[:, None] + np.arange(seed)]
     lo, hi = search(text, order, queries, False), search(text, order, queries, True)
     n = hi - lo
-    i = np.repeat(ask, n)
-    j = order[np.repeat(lo - np.append([0], np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
-    left = (i > 0) & (j > 0)
-    maximal = ~left
-    maximal[left] = (test[i[left] - 1] != text[j[left] - 1]) | (test[i[left] - 1] == 0)
-    i, j = i[maximal], j[maximal]
+    found = []
+    # places of a passage that many items share are listed in slices, and of each only where a verbatim match begins
+    ends = np.cumsum(n)
+    for at in range(0, int(n.sum()), PLACES):
+        rank = np.arange(at, min(at + PLACES, int(n.sum())))
+        row = np.searchsorted(ends, rank, side="right")
+        i = ask[row]
+        j = order[lo[row] + rank - (ends[row] - n[row])]
+        left = (i > 0) & (j > 0)
+        maximal = ~left
+        maximal[left] = (test[i[left] - 1] != text[j[left] - 1]) | (test[i[left] - 1] == 0)
+        found.append((i[maximal], j[maximal]))
+    if not found:
+        return empty
+    i, j = (np.concatenate(x) for x in zip(*found))
     if not len(i):
         return empty
     size = common(test, i, text, j, 1)

@@ -10,7 +10,7 @@ together, over all shards, as a shard's last containers find few pieces left.
 Tokens: runs of word characters (letters, marks, digits, underscore) and runs of other characters but white space.
 
 Defined results: null and blank texts have no tokens and no container; null ids are left out; a repeated row is
-packed as often as it occurs; an empty table gives an empty result; other columns are ignored.
+packed as often as it occurs, each time on its own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ K1, B = 1.2, 0.75
 TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+")
 _WORDY = regex.compile(r"[\p{L}\p{M}\p{N}_]")
 PIECE = "doc_id long, piece int, start_token int, n_tokens int, terms array<int>, tf array<int>, sig int"
-PACKED = "shard long, container int, doc_id long, piece int, start_token int, n_tokens int, filled int"
+PACKED = "shard long, container int, uid long, doc_id long, piece int, start_token int, n_tokens int, filled int"
 
 
 def tokens_of(text: str) -> list[str]:
@@ -116,7 +116,7 @@ def fill(lengths: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndar
 
 def _packer(capacity: int, n_all: int, mean: float):
     def pack(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
+        left = left.sort_values(["n_tokens", "doc_id", "piece", "uid"], ascending=[False, True, True, True], ignore_index=True)
         lengths = left["n_tokens"].to_numpy(np.int64)
         counts = np.array([len(t) for t in left["terms"]], np.int64)
         row = np.repeat(np.arange(len(left)), counts)
@@ -131,9 +131,9 @@ def _packer(capacity: int, n_all: int, mean: float):
         box = np.zeros(len(left), np.int64)
         for k, members in enumerate(boxes):
             box[members] = k
-        out = left[["shard", "doc_id", "piece", "start_token", "n_tokens"]].copy()
+        out = left[["shard", "uid", "doc_id", "piece", "start_token", "n_tokens"]].copy()
         out["container"], out["filled"] = box, np.bincount(box, lengths)[box].astype(np.int64)
-        return out[["shard", "container", "doc_id", "piece", "start_token", "n_tokens", "filled"]]
+        return out[["shard", "container", "uid", "doc_id", "piece", "start_token", "n_tokens", "filled"]]
 
     return pack
 
@@ -141,7 +141,7 @@ def _packer(capacity: int, n_all: int, mean: float):
 def _round(scratch: Scratch, pieces: DataFrame, df: DataFrame | None, n_all: int, mean: float, capacity: int, shard: int, want: int) -> tuple[DataFrame, DataFrame]:
     """Shard, index and pack ``pieces`` in at least ``want`` shards; returns the packed rows and the document frequencies."""
     parts = max(1, min(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), want))
-    placed = pieces.repartitionByRange(parts, "sig", "doc_id", "piece").sortWithinPartitions("sig", "doc_id", "piece")
+    placed = pieces.repartitionByRange(parts, "sig", "uid").sortWithinPartitions("sig", "uid")
     row = F.monotonically_increasing_id()
     number = F.shiftright(row, 33) * (1 << 24) + F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / shard)
     sharded = scratch.write(placed.withColumn("shard", number.cast("long")))
@@ -165,15 +165,16 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, ret
     """
     scratch = Scratch(documents.sparkSession, "packing")
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    pieces = scratch.write(docs.mapInPandas(_pieces(capacity), PIECE))
+    # each piece has a number of its own, so that repeated rows stay apart; it is fixed by being written
+    pieces = scratch.write(docs.mapInPandas(_pieces(capacity), PIECE).withColumn("uid", F.monotonically_increasing_id()))
     n_all, mean = pieces.agg(F.count(F.lit(1)), F.avg("n_tokens")).first()
     full = pieces.where(F.col("n_tokens") == capacity)
     name = lambda kind: F.concat_ws("-", F.lit(kind), "shard", "container")
-    alone = full.select(F.concat_ws("-", F.lit("full"), "doc_id", "piece").alias("container"), "doc_id", "piece", "start_token", "n_tokens", F.col("n_tokens").alias("filled"))
+    alone = full.select(F.concat_ws("-", F.lit("full"), "uid").alias("container"), "doc_id", "piece", "start_token", "n_tokens", F.col("n_tokens").alias("filled"))
     first, df = _round(scratch, pieces.where(F.col("n_tokens") < capacity), None, n_all, mean or 0.0, capacity, shard, 4 * n_all // shard)
     good = first.where(F.col("filled") >= retry * capacity)
-    poor = first.where(F.col("filled") < retry * capacity).select("doc_id", "piece", "start_token")
-    again = pieces.join(poor, ["doc_id", "piece", "start_token"], "left_semi")
+    poor = first.where(F.col("filled") < retry * capacity).select("uid")
+    again = pieces.join(poor, "uid", "left_semi")
     second, _ = _round(scratch, again, df, n_all, mean or 0.0, capacity, shard, -(-poor.count() // shard))
     shape = ["container", "doc_id", "piece", "start_token", "n_tokens", "filled"]
     return alone.unionByName(good.withColumn("container", name("a")).select(*shape)).unionByName(second.withColumn("container", name("b")).select(*shape))

@@ -90,6 +90,16 @@ def test_characters_for_scripts_without_spaces(spark):
     assert [(r.item_id, r.doc_id, r.kind) for r in rows] == [(1, 1, "chars")]
 
 
+def test_a_passage_many_items_and_documents_share(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "PLACES", 100)
+    shared = " ".join(f"w{i}" for i in range(40))
+    items = [(i, "en", f"a{i} {shared} b{i}") for i in range(12)]
+    rows = found(spark, items, [(d, f"{shared} d{d} <{'q' * 400}>") for d in range(25)])
+    assert sorted((r.item_id, r.doc_id) for r in rows) == [(i, d) for i in range(12) for d in range(25)]
+    # 40 words and a changed or dropped one before or behind them
+    assert {r.span for r in rows} == {41}
+
+
 def test_clean_and_empty(spark):
     item = " ".join(f"w{i}" for i in range(30))
     items = spark.createDataFrame([(1, "en", item, 0)], ITEMS)

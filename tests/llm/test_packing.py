@@ -37,6 +37,20 @@ def test_every_token_once_and_little_room(spark):
     assert {r.doc_id for r in packing.cut_documents(docs(spark, rows), 256).collect()} == {i for i, t, _ in rows if i is not None and len(packing.tokens_of(t or "")) > 256}
 
 
+def test_repeated_rows_stay_apart(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(20, 300))) for _ in range(200)]
+    rows = [(i, t, None) for i, t in enumerate(texts)] * 3
+    got = packing.pack(docs(spark, rows), capacity=256, shard=60).collect()
+    want = [len(packing.tokens_of(t)) for _, t, _ in rows]
+    assert sum(r.n_tokens for r in got) == sum(want) and len(got) == sum(-(-n // 256) for n in want)
+    filled = {}
+    for r in got:
+        filled.setdefault(r.container, []).append(r.n_tokens)
+        assert r.filled <= 256
+    assert all(sum(x) <= 256 for x in filled.values()) and sum(1 for x in filled.values() if x == [256]) >= sum(n // 256 for n in want)
+
+
 def test_neighbours_share_a_container(spark):
     rng = random.Random(2)
     topics = [[f"t{t}w{i}" for i in range(30)] for t in range(4)]
