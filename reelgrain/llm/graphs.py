@@ -1,13 +1,22 @@
-"""Connected components by alternating large-star and small-star, safe against hot nodes."""
+"""Connected components by alternating large-star and small-star, safe against hot nodes.
+
+Before the first round every task links what is already linked among its own edges, ``BLOCK`` of them at a time: the edges
+left are at most one per node and block, and chains within a block are gone.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgrain.sources.scratch import Scratch
 
 HOT_SHARE = 1000
+BLOCK = 1_000_000
 
 
 def join_unique(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
@@ -34,6 +43,44 @@ def _star(edges: DataFrame, total: int) -> DataFrame:
     return pairs.unionByName(small.select("a", F.col("m").alias("b"))).distinct()
 
 
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(nodes, root)`` of the graph of edges (a, b): the smallest node each is linked with."""
+    nodes, at = np.unique(np.append(a, b), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while True:  # every label points at a root
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+        open_edges = label[i] != label[j]
+        i, j = i[open_edges], j[open_edges]
+    return nodes, nodes[label]
+
+
+def _link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of a task, block by block, as stars: the same components, with an edge per node that isn't the smallest."""
+    held, size = [], 0
+
+    def stars() -> pd.DataFrame:
+        nodes, root = roots(*(np.concatenate([h[c].to_numpy(np.int64) for h in held]) for c in ("a", "b")))
+        own = nodes != root
+        return pd.DataFrame({"a": nodes[own], "b": root[own]})
+
+    for pdf in batches:
+        held.append(pdf)
+        size += len(pdf)
+        if size >= BLOCK:
+            yield stars()
+            held, size = [], 0
+    if held:
+        yield stars()
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a, b`` long) that isn't its component's smallest.
 
@@ -41,8 +88,10 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     a count and a checksum. Ends when a round changes nothing, which is a forest of stars.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = scratch.write(now), None
+    given = scratch.write(edges.where("a <> b").select("a", "b"))
+    tasks = -(-given.count() // BLOCK)
+    now = given.coalesce(max(tasks, 1)).mapInPandas(_link, "a long, b long")
+    now, before = scratch.write(now.distinct() if tasks > 1 else now), None
     for _ in range(max_rounds):
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:

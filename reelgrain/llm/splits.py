@@ -45,7 +45,7 @@ def relate(uses: DataFrame, record: str, entity: list[str]) -> DataFrame:
     all records costs that many edges, not their pairs.
     """
     scratch = Scratch(uses.sparkSession, "relate")
-    uses = scratch.write(uses.select(record, F.xxhash64(*entity).alias("e1"), *entity))
+    uses = scratch.write(uses.select(record, *entity))
     least = uses.groupBy(*entity).agg(F.min(record).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     least = scratch.write(least.select(F.struct(*entity).alias("e"), "b", "n"))
     total = uses.count()
