@@ -1,14 +1,17 @@
 """Problem 2: a sample whose category shares match given targets, with floors and a report of gaps.
 
-Method: calibration by Newton iterations on the exponential-tilting dual. Category moments (entries per stratum and
-category) are aggregated over all rows; the dual is solved per stratum on those moments. The resulting probabilities
-are sampled by the pivotal method: units duel within chunks of a category, the one undecided unit of each chunk duels
-on within its category, that of each category within the stratum. So a category gets the whole number below or above
-its expected size and a stratum exactly its total, and no task holds more than ``CHUNK`` units of a hot category.
+Method: calibration by Newton iterations on the exponential-tilting dual. Category moments (entries per run, robot and
+kind of source) are aggregated over all rows; per run the dual is solved on those moments for two margins at once: the
+robots' shares are the targets, the kinds' shares those of the run's own entries, so that tilting to the targets does not
+turn a run of mixed sources into one of a single kind. Robots' sizes are met exactly; where the kinds can't be, a small
+ridge on their multipliers leaves them as near as the entries allow. The resulting probabilities are sampled by the
+pivotal method: units duel within chunks of a robot, the one undecided unit of each chunk duels on within its robot, that
+of each robot within the run. So a robot gets the whole number below or above its expected size and a run exactly its
+total, and no task holds more than ``CHUNK`` units of a hot robot.
 
 Defined results: an image counts once (the latest of repeated rows); entries with null ``source`` and rows with null
 ``run`` or ``image_id`` are left out; entries whose robot is no target count for the sample size but are never
-drawn; a category with no more entries than its floor is taken whole; a run without entries has sample size 0 and
+drawn; targets whose names normalise alike are one; more than ``MOST_TARGETS`` targets are refused; a category with no more entries than its floor is taken whole; a run without entries has sample size 0 and
 lacks every floor; an empty table gives an empty result.
 """
 
@@ -27,30 +30,33 @@ CHUNK = 32_768
 FRACTION = 5
 SEED = 7
 EPS = 1e-7
+RIDGE = 1e-4
+MOST_TARGETS = 10_000
 
 
 def entries_of(composed: DataFrame) -> DataFrame:
-    """``run, image_id, k, robot``: one row per entry; ``robot`` is null where ``source`` names none."""
+    """``run, image_id, k, robot, kind``: one row per entry; ``robot`` is null where ``source`` names none."""
     raw = composed.where("run is not null and image_id is not null").select("image_id", "written_at", "run", F.transform("robots", lambda r: r["source"]).alias("sources"))
     each = latest(raw, ["image_id"], "written_at", ["run", "sources"]).select("run", "image_id", F.posexplode("sources").alias("k", "source"))
     robot = F.lower(F.regexp_replace(F.get(F.split("source", ":"), F.lit(1)), r"[\s_-]+", ""))
-    return each.where("source is not null").select("run", "image_id", "k", robot.alias("robot"))
+    kind = F.lower(F.regexp_replace(F.get(F.split("source", ":"), F.lit(0)), r"\s+", ""))
+    return each.where("source is not null").select("run", "image_id", "k", robot.alias("robot"), kind.alias("kind"))
 
 
-def newton_dual(x: np.ndarray, base: np.ndarray, target: np.ndarray, rounds: int = 100) -> np.ndarray:
+def newton_dual(x: np.ndarray, base: np.ndarray, target: np.ndarray, rounds: int = 100, ridge: np.ndarray | float = 0.0) -> np.ndarray:
     """Expected sizes ``base * exp(x @ lam)`` whose moments ``x.T @ size`` equal ``target``.
 
-    Minimises the convex dual sum(base * exp(x lam)) - lam target by Newton steps with halving. Moments that can't be
-    met (no base) are kept out by a small ridge.
+    Minimises the convex dual sum(base * exp(x lam)) - lam target + ridge lam² / 2 by Newton steps with halving. A moment with
+    a ``ridge`` gives way where it can't be met.
     """
     lam = np.zeros(x.shape[1])
-    value = lambda v: float(np.sum(base * np.exp(np.clip(x @ v, -50, 50))) - v @ target)
+    value = lambda v: float(np.sum(base * np.exp(np.clip(x @ v, -50, 50))) - v @ target + np.sum(ridge * v * v) / 2)
     for _ in range(rounds):
         size = base * np.exp(np.clip(x @ lam, -50, 50))
-        gradient = x.T @ size - target
+        gradient = x.T @ size - target + ridge * lam
         if np.abs(gradient).max(initial=0) < 1e-9 * max(1.0, target.max(initial=0)):
             break
-        hessian = (x * size[:, None]).T @ x
+        hessian = (x * size[:, None]).T @ x + np.diag(np.zeros(len(lam)) + ridge)
         step = np.linalg.solve(hessian + np.eye(len(lam)) * 1e-12 * max(1.0, np.trace(hessian)), gradient)
         scale, now = 1.0, value(lam)
         while scale > 1e-6 and value(lam - scale * step) > now + 1e-12 * abs(now):
@@ -89,6 +95,38 @@ def expected_sizes(entries: np.ndarray, share: np.ndarray, floor: np.ndarray, si
     return np.clip(out, low, high)
 
 
+def tilted(counts: np.ndarray, robots: np.ndarray) -> np.ndarray:
+    """Expected sizes per (robot, kind) within ``counts``, with row sums ``robots`` and column shares as in ``counts``.
+
+    Both margins go into one dual. A cell tilted beyond its entries is taken whole and the rest is solved again.
+    """
+    n = counts.astype(float)
+    out, whole = np.zeros_like(n), np.zeros(n.shape, bool)
+    kinds = n.sum(axis=0) / max(n.sum(), 1.0) * robots.sum()
+    while True:
+        left = robots - (out * whole).sum(axis=1)
+        r, k = np.nonzero((n > 0) & ~whole & (left > EPS)[:, None])
+        if not len(r):
+            break
+        rows, columns = np.unique(r), np.unique(k)
+        x = np.hstack([r[:, None] == rows, k[:, None] == columns[:-1]]).astype(float)  # the last kind follows from the others
+        room = (n * ~whole).sum(axis=1)
+        base = n[r, k] * left[r] / room[r]
+        target = np.append(left[rows], np.maximum(kinds - (out * whole).sum(axis=0), 0)[columns[:-1]])
+        ridge = np.append(np.zeros(len(rows)), np.full(len(columns) - 1, RIDGE * robots.sum()))
+        out[~whole] = 0
+        out[r, k] = newton_dual(x, base, target, ridge=ridge)
+        over = ~whole & (out > n + EPS)
+        if not over.any():
+            break
+        out[over], whole = n[over], whole | over
+    out = np.minimum(out, n)
+    # rounding of the solver must not move a robot's size
+    missing = robots - out.sum(axis=1)
+    room = np.where(missing[:, None] > 0, n - out, out)
+    return np.clip(out + room * (missing / np.maximum(room.sum(axis=1), 1e-12))[:, None], 0, n)
+
+
 def pivotal(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Duels of units in order; returns probabilities 0 or 1 but for at most one, with the same sum."""
     p = np.where(p > 1 - EPS, 1.0, np.where(p < EPS, 0.0, p))
@@ -135,49 +173,69 @@ def _duels(keys: list[str], seed: int, shuffled: bool = False):
 
 
 def calibrated(composed: DataFrame, targets: DataFrame, fraction: int = FRACTION) -> tuple[DataFrame, DataFrame]:
-    """``(entries, cells)``: the entries, and per run and target robot its moments and expected sample size."""
+    """``(entries, cells)``: the entries, and per run, target robot and kind its moments and expected sizes.
+
+    A robot without entries has one cell of null kind. ``robot_expected`` is the robot's, ``expected`` the cell's.
+    """
     entries = entries_of(composed)
-    want = targets.where("robot is not null").groupBy(F.col("robot").alias("named")).agg(F.coalesce(F.max("share_pct"), F.lit(0)).alias("share_pct"), F.coalesce(F.max("min_rows"), F.lit(0)).alias("min_rows"))
-    want = want.withColumn("robot", F.lower(F.regexp_replace("named", r"[\s_-]+", "")))
-    moments = entries.groupBy("run", "robot").agg(F.count(F.lit(1)).alias("n"))
+    want = targets.where("robot is not null").select(F.lower(F.regexp_replace("robot", r"[\s_-]+", "")).alias("robot"), F.col("robot").alias("named"), "share_pct", "min_rows")
+    # names that normalise alike are one target
+    want = want.groupBy("robot").agg(F.min("named").alias("named"), F.coalesce(F.max("share_pct"), F.lit(0)).alias("share_pct"), F.coalesce(F.max("min_rows"), F.lit(0)).alias("min_rows"))
+    if want.count() > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
+    moments = entries.groupBy("run", "robot", "kind").agg(F.count(F.lit(1)).alias("n"))
     sizes = moments.groupBy("run").agg(F.floor(F.sum("n") / fraction).cast("long").alias("size"))
     runs = composed.where("run is not null").select("run").distinct().join(sizes, "run", "left").select("run", F.coalesce("size", F.lit(0)).alias("size"))
-    # runs x targets: targets is a fixed list of categories, every pair is a row of the report
+    # runs x targets: targets is a counted list of categories, every pair is a row of the report
     cells = runs.join(F.broadcast(want)).join(moments, ["run", "robot"], "left")
     needed = F.greatest(F.col("min_rows").cast("long"), F.floor(F.col("share_pct") * F.col("size") / 100).cast("long"))
-    cells = cells.select("run", "robot", "named", F.col("share_pct").cast("int").alias("share_pct"), F.coalesce("n", F.lit(0)).alias("entries"), "size", needed.alias("needed"))
+    cells = cells.select("run", "robot", "named", F.col("share_pct").cast("int").alias("share_pct"), "kind", F.coalesce("n", F.lit(0)).alias("n"), "size", needed.alias("needed"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("robot", ignore_index=True)
-        pdf["expected"] = expected_sizes(pdf["entries"].to_numpy(), pdf["share_pct"].to_numpy(), pdf["needed"].to_numpy(), int(pdf["size"].iloc[0]))
+        pdf = pdf.sort_values(["robot", "kind"], ignore_index=True)
+        robot, at = np.unique(pdf["robot"], return_index=True)
+        row = np.searchsorted(robot, pdf["robot"])
+        kind, column = np.unique(pdf["kind"].fillna(""), return_inverse=True)
+        counts = np.zeros((len(robot), len(kind)), np.int64)
+        np.add.at(counts, (row, column), pdf["n"].to_numpy())
+        own = counts.sum(axis=1)
+        robots = expected_sizes(own, pdf["share_pct"].to_numpy()[at], pdf["needed"].to_numpy()[at], int(pdf["size"].iloc[0]))
+        pdf["entries"], pdf["robot_expected"] = own[row], robots[row]
+        pdf["expected"] = tilted(counts, robots)[row, column]
         return pdf
 
-    return entries, cells.groupBy("run").applyInPandas(solve, "run string, robot string, named string, share_pct int, entries long, size long, needed long, expected double")
+    shape = "run string, robot string, named string, share_pct int, kind string, n long, size long, needed long, entries long, robot_expected double, expected double"
+    return entries, cells.groupBy("run").applyInPandas(solve, shape)
 
 
-def sample(composed: DataFrame, targets: DataFrame, fraction: int = FRACTION, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """``(drawn, report)``.
+def sample(composed: DataFrame, targets: DataFrame, fraction: int = FRACTION, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(drawn, report, kinds)``.
 
-    ``drawn``: ``run, robot, image_id, k, probability`` of the drawn entries. ``report``: per run and target robot
+    ``drawn``: ``run, robot, image_id, k, kind, probability`` of the drawn entries. ``report``: per run and target robot
     ``entries, size, needed, expected, drawn, gap``; ``gap`` is how many entries the floor lacks, 0 where it is met.
+    ``kinds``: per run and kind of source ``entries, expected, drawn`` over the target robots.
     """
     scratch = Scratch(composed.sparkSession, "sample")
     entries, cells = calibrated(composed, targets, fraction)
     cells = scratch.write(cells)
-    p = cells.where("entries > 0 and expected > 0").select("run", "robot", (F.col("expected") / F.col("entries")).alias("probability"), F.ceil(F.col("entries") / CHUNK).cast("int").alias("chunks"), "entries")
-    total = cells.agg(F.sum("entries")).first()[0] or 0
-    keyed = p.select(F.struct("run", "robot").alias("cell"), "probability", "chunks", "entries")
-    units = join_unique(entries.where("robot is not null").select(F.struct("run", "robot").alias("cell"), "image_id", "k"), keyed, "cell", "entries", total)
-    units = units.select("cell.run", "cell.robot", "image_id", "k", "probability", "chunks").select("run", "robot", "image_id", "k", "probability", F.col("probability").alias("p"), F.pmod(F.xxhash64("image_id", "k"), F.col("chunks")).cast("int").alias("chunk"), (F.col("chunks") > 1).alias("parted"))
-    shape = "run string, robot string, image_id long, k int, probability double, p double, chunk int, parted boolean"
+    p = cells.where("n > 0 and expected > 0").select("run", "robot", "kind", (F.col("expected") / F.col("n")).alias("probability"), F.ceil(F.col("entries") / CHUNK).cast("int").alias("chunks"), "n")
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    keyed = p.select(F.struct("run", "robot", "kind").alias("cell"), "probability", "chunks", "n")
+    units = join_unique(entries.where("robot is not null").select(F.struct("run", "robot", "kind").alias("cell"), "image_id", "k"), keyed, "cell", "n", total)
+    units = units.select("cell.*", "image_id", "k", "probability", F.col("probability").alias("p"), F.pmod(F.xxhash64("image_id", "k"), F.col("chunks")).cast("int").alias("chunk"), (F.col("chunks") > 1).alias("parted"))
+    shape = "run string, robot string, kind string, image_id long, k int, probability double, p double, chunk int, parted boolean"
     # the categories of a run duel in one call per chunk: at most CHUNK units of each category
     first = scratch.write(units.groupBy("run", "chunk").applyInPandas(_duels(["run", "robot", "chunk"], seed, True), shape))
     second = first.where("p < 1 and parted").groupBy("run", "robot").applyInPandas(_duels(["run", "robot"], seed + 1), shape)
     second = scratch.write(second)
     open_ = first.where("p < 1 and not parted").unionByName(second.where("p < 1"))
     third = open_.groupBy("run").applyInPandas(_duels(["run"], seed + 2), shape)
-    drawn = scratch.write(first.where("p = 1").unionByName(second.where("p = 1")).unionByName(third.where("p > 0.5")).select("run", "robot", "image_id", "k", "probability"))
+    drawn = scratch.write(first.where("p = 1").unionByName(second.where("p = 1")).unionByName(third.where("p > 0.5")).select("run", "robot", "image_id", "k", "kind", "probability"))
     got = drawn.groupBy("run", "robot").agg(F.count(F.lit(1)).alias("drawn"))
-    report = cells.join(got, ["run", "robot"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    robots = cells.groupBy("run", "robot", "named", "share_pct", "entries", "size", "needed").agg(F.max("robot_expected").alias("expected"))
+    report = robots.join(got, ["run", "robot"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
     gap = F.greatest(F.col("needed") - F.col("drawn"), F.lit(0))
-    return drawn, report.select("run", F.col("named").alias("robot"), "share_pct", "entries", "size", "needed", "expected", "drawn", gap.alias("gap"))
+    report = report.select("run", F.col("named").alias("robot"), "share_pct", "entries", "size", "needed", "expected", "drawn", gap.alias("gap"))
+    kinds = cells.where("n > 0").groupBy("run", "kind").agg(F.sum("n").alias("entries"), F.sum("expected").alias("expected"))
+    kinds = kinds.join(drawn.groupBy("run", "kind").agg(F.count(F.lit(1)).alias("drawn")), ["run", "kind"], "left")
+    return drawn, report, kinds.select("run", "kind", "entries", "expected", F.coalesce("drawn", F.lit(0)).alias("drawn"))

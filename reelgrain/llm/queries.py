@@ -22,7 +22,7 @@ def p1_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    _, report = calibrate.sample(table(spark, d, "composed"), table(spark, d, "targets"))
+    report = calibrate.sample(table(spark, d, "composed"), table(spark, d, "targets"))[1]
     return report.where("gap > 0").select("run", "robot")
 
 
@@ -34,6 +34,10 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.sample(table(spark, d, "composed"), table(spark, d, "targets"))[0]
 
 
+def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return calibrate.sample(table(spark, d, "composed"), table(spark, d, "targets"))[2]
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return mixture.members(table(spark, d, "manifest"))
 
@@ -87,7 +91,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [p1_found, p1_runs, p2_found, p2_report, p2_sample, p3_found, p3_clusters, p4_found, p4_images, p4_frames, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_matches, p7_clean, p8_found]
+    named = [p1_found, p1_runs, p2_found, p2_report, p2_sample, p2_kinds, p3_found, p3_clusters, p4_found, p4_images, p4_frames, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_matches, p7_clean, p8_found]
     return {f.__name__: f for f in named}
 
 
