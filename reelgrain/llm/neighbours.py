@@ -2,7 +2,8 @@
 
 Method: learned partitions. Per scene a bounded sample (at most ``PER_PART * MAX_PARTS`` places) gives a neighbour
 graph; recursive bisection with balanced refinement cuts it into parts of equal size; a small softmax classifier learns
-the parts. Every place is put in its most probable part, every query goes to its most probable parts and is reranked
+the parts. Where a scene has more than ``SLACK * PART`` places to a part (``MAX_PARTS`` are learnt at most), each part is
+held as several slices, so that no task's share grows with the scene. Every place is put in its most probable part, every query goes to its most probable parts and is reranked
 there by exact distance. A check follows: parts whose bounding box comes nearer than the k-th neighbour found, and that
 were not asked, are asked too, so that the result is exact.
 
@@ -33,6 +34,7 @@ GRAPH_K = 8
 SALT = 100_000
 COVER = 0.97
 MAX_ROUTES = 5
+SLACK = 2
 PLACE = ["scene", "x", "y", "z"]
 
 
@@ -231,10 +233,10 @@ def _xyz(pdf: pd.DataFrame) -> np.ndarray:
     return pdf[["x", "y", "z"]].to_numpy(np.float64)
 
 
-def _train(part: int):
+def _train(part: int, max_parts: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["x", "y", "z"])
-        parts = min(MAX_PARTS, int(np.ceil(pdf["n"].iloc[0] / part)))
+        parts = min(max_parts, int(np.ceil(pdf["n"].iloc[0] / part)))
         return pd.DataFrame([{"scene": pdf["scene"].iloc[0], **train(_xyz(pdf), parts)}])
 
     return fit
@@ -247,8 +249,11 @@ def _assign(cover: float, most: int):
         left = left.reset_index(drop=True)
         routes = route(_xyz(left), right.iloc[0], cover, most)
         out = left[[*PLACE, "ids", "asked"]].copy()
-        out["part"] = routes[:, 0]
-        out["routes"] = [r[r >= 0] if a else np.zeros(0, np.int64) for r, a in zip(routes, left["asked"])]
+        # a scene too large for its parts: each part is several slices of even size, and a query asks them all
+        slices = int(right["slices"].iloc[0])
+        out["part"] = routes[:, 0] * slices + left["slice"].to_numpy() % slices
+        every = np.arange(slices)
+        out["routes"] = [(r[r >= 0, None] * slices + every).ravel() if a else np.zeros(0, np.int64) for r, a in zip(routes, left["asked"])]
         return out
 
     return assign
@@ -301,7 +306,7 @@ def _missed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def neighbours(points: DataFrame, k: int = K, asked: DataFrame | None = None, part: int = PART, cover: float = COVER, most: int = MAX_ROUTES, salted: int = SALT) -> DataFrame:
+def neighbours(points: DataFrame, k: int = K, asked: DataFrame | None = None, part: int = PART, cover: float = COVER, most: int = MAX_ROUTES, salted: int = SALT, max_parts: int = MAX_PARTS) -> DataFrame:
     """``row_id, near, distance``: for every point its k nearest of the same scene, nearest first.
 
     ``asked`` (``row_id``) limits the queries to some points; the index always holds all. ``part`` is the size of a part,
@@ -328,12 +333,14 @@ def neighbours(points: DataFrame, k: int = K, asked: DataFrame | None = None, pa
     sized = join_unique(places, sizes, "scene", "n", max(total, 1))
     salt = F.pmod(F.xxhash64("x", "y", "z"), F.ceil(F.col("n") / salted)).cast("int").alias("salt")
     unit = F.xxhash64("z", "y", "x").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    wanted = F.least(F.ceil(F.col("n") / part), F.lit(MAX_PARTS)) * PER_PART
+    wanted = F.least(F.ceil(F.col("n") / part), F.lit(max_parts)) * PER_PART
     sample = sized.where(unit * F.col("n") < wanted * 1.1 + 64).select(*PLACE, "n")
-    models = scratch.write(sample.groupBy("scene").applyInPandas(_train(part), "scene string, mean array<double>, scale array<double>, w array<double>, parts int"))
-    salts = sizes.select(F.col("scene").alias("of"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / salted).cast("int") - 1)).alias("s"))
-    spread = models.join(salts, F.col("scene") == F.col("of")).select("of", "s", "mean", "scale", "w", "parts")
-    index = sized.select(*PLACE, "ids", "asked", salt).groupBy("scene", "salt").cogroup(spread.groupBy("of", "s")).applyInPandas(
+    models = scratch.write(sample.groupBy("scene").applyInPandas(_train(part, max_parts), "scene string, mean array<double>, scale array<double>, w array<double>, parts int"))
+    salts = sizes.select(F.col("scene").alias("of"), "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / salted).cast("int") - 1)).alias("s"))
+    slices = F.ceil(F.col("n") / (F.col("parts") * part * SLACK)).cast("int")
+    spread = models.join(salts, F.col("scene") == F.col("of")).select("of", "s", "mean", "scale", "w", "parts", slices.alias("slices"))
+    slice_ = F.xxhash64("y", "z", "x").bitwiseAND(F.lit((1 << 31) - 1)).alias("slice")
+    index = sized.select(*PLACE, "ids", "asked", slice_, salt).groupBy("scene", "salt").cogroup(spread.groupBy("of", "s")).applyInPandas(
         _assign(cover, most), "scene string, x double, y double, z double, ids array<long>, asked boolean, part int, routes array<int>")
     index = scratch.write(index)
     held = index.select(F.col("scene").alias("in_scene"), F.col("part").alias("in_part"), "x", "y", "z", "ids")

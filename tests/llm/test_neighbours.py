@@ -42,6 +42,11 @@ def test_all_points_over_several_parts(spark, cloud, cover, most):
     assert got == brute(cloud, 8)
 
 
+def test_parts_held_as_slices(spark, cloud):
+    found = neighbours.neighbours(spark.createDataFrame(cloud, SCHEMA), k=8, part=20, max_parts=4)
+    assert {r.row_id: list(r.near) for r in found.collect()} == brute(cloud, 8)
+
+
 def test_asked_points(spark, cloud):
     asked = spark.createDataFrame([(i,) for i in (0, 0, 5, 701, 5003, 6005, 9002, 123456, None)], "row_id long")
     found = neighbours.neighbours(spark.createDataFrame(cloud, SCHEMA), k=8, asked=asked)
