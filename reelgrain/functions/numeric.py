@@ -71,8 +71,9 @@ def spacing(segment: Column, frames: Column, oversample: Column) -> Column:
 
 
 def unit(*keys: Column | str, seed: int = 0) -> Column:
-    """Uniform number in [0, 1) from a hash of the keys: the same in any partition layout."""
-    return F.xxhash64(*keys, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    """Uniform number in [0, 1) from a hash of the keys' texts: the same in any partition layout and any SQL dialect."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys], F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / float(1 << 52)
 
 
 def dot(a: list[Column], b: list[Column]) -> Column:
@@ -80,3 +81,12 @@ def dot(a: list[Column], b: list[Column]) -> Column:
     for x, y in zip(a[1:], b[1:]):
         out = out + x * y
     return out
+
+
+def signature(v: Column) -> Column:
+    """A vector less its mean over its (population) deviation."""
+    n = F.size(v).cast("double")
+    x = F.transform(v, lambda a: a.cast("double"))
+    mean = F.aggregate(x, F.lit(0.0), lambda s, a: s + a) / n
+    spread = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, a: s + (a - mean) * (a - mean)) / n)
+    return F.transform(x, lambda a: (a - mean) / (spread + 1e-9))

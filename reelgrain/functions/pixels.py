@@ -30,9 +30,68 @@ def texture_match(a: np.ndarray, b: np.ndarray, size: int = 21) -> np.ndarray:
     return cov / np.sqrt(np.maximum(va * vb, 1.0))
 
 
+def smoothed(a: np.ndarray) -> np.ndarray:
+    """5 x 5 Gaussian blur in whole levels, borders reflected: binomial weights 1 4 6 4 1 both ways."""
+    p = np.pad(a.astype(np.int64), 2, mode="reflect")
+    rows = sum(w * p[i : i + a.shape[0]] for i, w in enumerate((1, 4, 6, 4, 1)))
+    both = sum(w * rows[:, i : i + a.shape[1]] for i, w in enumerate((1, 4, 6, 4, 1)))
+    return (both + 128) // 256
+
+
+def grown(mask: np.ndarray, size: int) -> np.ndarray:
+    """Pixels with one of the mask within a size x size window; beyond the border there is none."""
+    r = size // 2
+    c = np.pad(np.pad(mask > 0, r).astype(np.int64).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    return c[size:, size:] - c[:-size, size:] - c[size:, :-size] + c[:-size, :-size] > 0
+
+
+def shrunk(mask: np.ndarray, size: int) -> np.ndarray:
+    """Pixels whose whole window, as far as it lies in the picture, is in the mask."""
+    return ~grown(mask == 0, size)
+
+
+def floor_gain(gray: np.ndarray, plate: np.ndarray, mask: np.ndarray) -> float:
+    """Median plate level of the floor over the frame's, the latter at least 1."""
+    return float(np.median(plate[mask > 0]) / max(np.median(gray[mask > 0]), 1.0))
+
+
 def changed(gray: np.ndarray, plate: np.ndarray, mask: np.ndarray, diff: float = 28, match: float = 0.6) -> np.ndarray:
-    """Pixels of the mask that differ from the plate in level and in texture."""
-    return (np.abs(gray.astype(float) - plate) > diff) & (texture_match(gray, plate) < match) & (mask > 0)
+    """Pixels of the mask that differ from the plate in level and in texture, once the frame is as bright as the plate and
+    both are blurred; specks of less than 3 x 3 are removed and gaps of less than 15 x 15 closed."""
+    if not (mask > 0).any():
+        return np.zeros(gray.shape, bool)
+    lit = np.clip(np.rint(gray.astype(float) * floor_gain(gray, plate, mask)), 0, 255)
+    a, b = smoothed(lit), smoothed(plate)
+    on = (np.abs(a - b) > diff) & (texture_match(a, b) < match) & (mask > 0)
+    opened = grown(shrunk(on, 3), 3)
+    return shrunk(grown(opened, 15), 15)
+
+
+def patch_at(gray: np.ndarray, x: float, y: float, half: int) -> np.ndarray | None:
+    """The picture around a place, cut at the border; None if it is 10 pixels or less either way."""
+    x, y = int(x), int(y)
+    cut = gray[max(0, y - half) : max(0, y + half), max(0, x - half) : max(0, x + half)]
+    return cut.copy() if min(cut.shape) > 10 else None
+
+
+def find_patch(gray: np.ndarray, patch: np.ndarray, at: tuple[float, float], margin: int, least: float) -> tuple[float, float] | None:
+    """Centre of the place near ``at`` that looks most like the patch (normalised correlation, ``least`` at least).
+
+    Sums over windows come from cumulative sums, products from one Fourier transform.
+    """
+    h, w = patch.shape
+    x0, y0 = max(0, int(at[0]) - w // 2 - margin), max(0, int(at[1]) - h // 2 - margin)
+    area = gray[y0 : max(0, int(at[1]) + h // 2 + margin), x0 : max(0, int(at[0]) + w // 2 + margin)].astype(float)
+    if area.shape[0] < h or area.shape[1] < w:
+        return None
+    own = patch.astype(float) - patch.mean()
+    size = (area.shape[0] + h, area.shape[1] + w)
+    cross = np.fft.irfft2(np.fft.rfft2(area, size) * np.fft.rfft2(own[::-1, ::-1], size), size)[h - 1 : area.shape[0], w - 1 : area.shape[1]]
+    window = lambda a: (lambda c: c[h:, w:] - c[:-h, w:] - c[h:, :-w] + c[:-h, :-w])(np.pad(a.cumsum(0).cumsum(1), ((1, 0), (1, 0))))
+    spread = np.maximum(window(area * area) - window(area) ** 2 / (h * w), 0)
+    score = cross / np.sqrt(np.maximum(spread * (own * own).sum(), 1e-6))
+    i, j = np.unravel_index(int(np.argmax(np.round(score, 9))), score.shape)
+    return (x0 + j + w / 2, y0 + i + h / 2) if score[i, j] >= least else None
 
 
 def components(mask: np.ndarray) -> np.ndarray:

@@ -159,3 +159,12 @@ def visible_boxes(pixels: DataFrame, keys: list[str]) -> DataFrame:
 def accepted_layout(robots: DataFrame, image: str, seen: str, whole: str, least: float = 0.45) -> DataFrame:
     """Images none of whose robots is seen by less than ``least`` of its whole."""
     return robots.groupBy(image).agg(F.bool_and(F.coalesce(F.col(seen) >= least * F.col(whole), F.lit(False))).alias("ok")).where("ok").select(image)
+
+
+def reconstruction_means(observed: DataFrame, errors: DataFrame) -> DataFrame:
+    """``error, track_length, seen_mean, seen_min, seen_max`` of a reconstruction: mean error of its points (infinite without
+    points), images per point and points per image, from ``observed`` (``image, point``) and ``errors`` (``point, error``)."""
+    tracks = observed.groupBy("point").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("track_length"))
+    seen = observed.groupBy("image").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("seen_mean"), F.min("n").alias("seen_min"), F.max("n").alias("seen_max"))
+    error = errors.agg(F.coalesce(F.avg("error"), F.lit(float("inf"))).alias("error"))
+    return error.crossJoin(tracks).crossJoin(seen)

@@ -12,6 +12,20 @@ def _gap(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
+def named(frames: DataFrame, centres: DataFrame, keys: list[str]) -> DataFrame:
+    """``frames`` (``f0`` and, where a second outline is there, ``f1``) with ``first, second``: the group 0 or 1 of each, by
+    the ``centres`` (``c0, c1``) of their key.
+
+    One outline goes to the nearer centre, two the cheaper way round, so that they come out different (ties: as they stand).
+    Null features or a key without centres give null names.
+    """
+    both = frames.join(centres.select(*keys, "c0", "c1"), keys, "left")
+    gap = lambda f, c: _gap(F.col(f).cast("array<double>"), F.col(c).cast("array<double>"))
+    alone, swapped = gap("f0", "c1") < gap("f0", "c0"), gap("f0", "c1") + gap("f1", "c0") < gap("f0", "c0") + gap("f1", "c1")
+    first = F.when(F.col("f1").isNull(), alone).otherwise(swapped).cast("int")
+    return both.withColumn("first", first).withColumn("second", F.when(F.col("f1").isNotNull(), 1 - F.col("first"))).drop("c0", "c1")
+
+
 def two_groups(pairs: DataFrame, keys: list[str], id_: list[str], features: int, decides: int, full_weight: float = 4000.0, rounds: int = 20) -> DataFrame:
     """``keys, id_, swapped, sound``: which way round the two outlines of each frame belong.
 

@@ -97,18 +97,19 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, checks: list[tuple[st
 def nearest_centre(rows: DataFrame, centres: DataFrame, vector: str, id_: str, label: str, limit: int = 10_000) -> DataFrame:
     """``id_, label, distance``: the nearest centre of each row, ties to the smaller label.
 
-    ``centres`` (``label, centre``) is counted first: up to ``limit`` it goes to every row as one array, so no pair is
-    shuffled; beyond, pairs are reduced by a partial ``min_by``.
+    ``centres`` (``label, centre``), the stated set, is counted first and goes to every row as one array, so no pair is
+    shuffled; beyond ``limit`` it does so in blocks of about that many, each a pass that keeps the nearer centre.
     """
-    if centres.limit(limit + 1).count() <= limit:
-        every = centres.agg(F.array_sort(F.collect_list(F.struct(label, "centre"))).alias("_c"))
-        each = rows.crossJoin(F.broadcast(every))
-        d = F.transform("_c", lambda c: F.struct(_distance(F.col(vector), c["centre"]).alias("distance"), c[label].alias(label)))
-        best = F.array_min(d)
-        return each.select(id_, best[label].alias(label), best["distance"].alias("distance"))
-    pairs = rows.select(id_, vector).crossJoin(centres)
-    best = F.min(F.struct(_distance(F.col(vector), F.col("centre")).alias("distance"), label)).alias("_b")
-    return pairs.groupBy(id_).agg(best).select(id_, f"_b.{label}", "_b.distance")
+    blocks = max(1, -(-centres.count() // limit))
+    shown = centres.withColumn("_k", F.pmod(F.xxhash64(label), F.lit(blocks)))
+    best = F.struct(F.lit(None).cast("double").alias("distance"), F.lit(None).cast(centres.schema[label].dataType).alias(label))
+    out = rows.select(id_, vector, best.alias("_best"))
+    for i in range(blocks):
+        every = shown.where(F.col("_k") == i).agg(F.array_sort(F.collect_list(F.struct(label, "centre"))).alias("_c"))
+        near = F.array_min(F.transform("_c", lambda c: F.struct(_distance(F.col(vector), c["centre"]).alias("distance"), c[label].alias(label))))
+        nearer = F.when(F.col("_best.distance").isNull() | (near < F.col("_best")), F.coalesce(near, F.col("_best"))).otherwise(F.col("_best"))
+        out = out.crossJoin(F.broadcast(every)).select(id_, vector, nearer.alias("_best"))
+    return out.where(F.col("_best.distance").isNotNull()).select(id_, f"_best.{label}", "_best.distance")
 
 
 def _distance(a: Column, b: Column) -> Column:

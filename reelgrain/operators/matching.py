@@ -1,26 +1,28 @@
-"""One-to-one matching and greedy suppression within small groups (the boxes of an image, the blobs of a frame)."""
+"""One-to-one matching within small groups (the boxes of an image, the blobs of a frame), and greedy suppression."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrain.functions.geometry import iou
+from reelgrain.operators.folds import streamed
 
 
 def greedy_pairs(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Cheapest finite pair first, its row and column struck out; ties to the first row, then column."""
-    cost = cost.astype(float).copy()
-    out = []
-    while cost.size:
-        i, j = np.unravel_index(int(np.argmin(cost)), cost.shape)
-        if not np.isfinite(cost[i, j]):
-            break
-        out.append((int(i), int(j)))
-        cost[i, :] = np.inf
-        cost[:, j] = np.inf
+    """Finite pairs in the order of their cost (ties: the smaller row, then column), each taken if both its ends are free."""
+    rows, columns = np.nonzero(np.isfinite(cost))
+    left, right, out = set(), set(), []
+    for at in np.lexsort((columns, rows, cost[rows, columns])):
+        i, j = int(rows[at]), int(columns[at])
+        if i not in left and j not in right:
+            left.add(i)
+            right.add(j)
+            out.append((i, j))
     return out
 
 
@@ -45,88 +47,88 @@ def greedy_assign(costs: DataFrame, keys: list[str], left: str, right: str, cost
     return each.select(*keys, F.col("_k.l").alias(left), F.col("_k.r").alias(right), F.col("_k.c").alias(cost))
 
 
-def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU of boxes (n, 4) and (m, 4), sides x1 - x0, 1e-9 in the denominator."""
-    a, b = a[:, None, :].astype(float), b[None, :, :].astype(float)
-    w = np.maximum(np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0]), 0)
-    h = np.maximum(np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1]), 0)
-    area = lambda c: (c[..., 2] - c[..., 0]) * (c[..., 3] - c[..., 1])
-    return w * h / (area(a) + area(b) - w * h + 1e-9)
-
-
-def match_in_order(truth: np.ndarray, found: np.ndarray, least: float = 0.5) -> list[int]:
-    """For each true box in order the best unused found box (ties: the later), -1 below ``least``; only hits are used up."""
-    overlap = box_iou(truth, found) if len(truth) and len(found) else np.zeros((len(truth), len(found)))
-    free, out = np.ones(len(found), bool), []
-    for row in overlap:
-        open_ = np.where(free, row, -1.0)
-        best = len(open_) - 1 - int(np.argmax(open_[::-1])) if len(open_) else -1
-        hit = best >= 0 and open_[best] >= least
-        out.append(best if hit else -1)
-        if hit:
-            free[best] = False
-    return out
-
-
 def detections_matched(truth: DataFrame, found: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
     """``keys, k, hit, extra``: one row per true box (``k, box``) and its hit; ``extra`` found boxes unused per image, in
-    a row of null ``k``. Boxes that are null count as missed or extra."""
+    a row of null ``k``. Boxes that are null count as missed or extra.
+
+    True boxes choose in the order of ``k``: the free found box of greatest overlap (ties: the later), if that is at least
+    ``least``; only hits are used up. The boxes of an image are few and are folded as arrays inside the JVM.
+    """
     t = truth.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "box"))).alias("t"))
     f = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "box"))).alias("f"))
-    both = t.join(f, keys, "full")
-    key_schema = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in keys)
-
-    def match(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                true = list(r.t) if r.t is not None else []
-                got = [x for x in (r.f if r.f is not None else []) if x["box"] is not None]
-                have = [x for x in true if x["box"] is not None]
-                as_array = lambda xs: np.array([list(x["box"]) for x in xs], float).reshape(-1, 4)
-                hits = match_in_order(as_array(have), as_array(got), least)
-                of = {x["k"]: h for x, h in zip(have, hits)}
-                own = [getattr(r, c) for c in keys]
-                rows += [(*own, x["k"], of.get(x["k"], -1) >= 0, 0) for x in true]
-                rows.append((*own, None, None, len(got) - sum(h >= 0 for h in hits)))
-            out = pd.DataFrame(rows, columns=[*keys, "k", "hit", "extra"])
-            out["k"], out["hit"] = out["k"].astype("Int64"), out["hit"].astype("boolean")
-            yield out
-
-    return both.select(*keys, "t", "f").mapInPandas(match, f"{key_schema}, k long, hit boolean, extra long")
+    none = lambda c: F.coalesce(c, F.array())
+    both = t.join(f, keys, "full").withColumn("_found", F.transform(F.filter(none(F.col("f")), lambda x: x["box"].isNotNull()), lambda x: x["box"]))
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<boolean>").alias("hits"))
+
+    def choose(state: Column, true: Column) -> Column:
+        free = F.transform("_found", lambda box, i: F.struct(F.when(F.array_contains(state["used"], i), F.lit(-1.0)).otherwise(F.coalesce(iou(true["box"], box), F.lit(-1.0))).alias("o"), i.alias("i")))
+        best = F.array_max(free)
+        hit = F.coalesce((best["o"] >= least) & true["box"].isNotNull(), F.lit(False))
+        used = F.when(hit, F.concat(state["used"], F.array(best["i"]))).otherwise(state["used"])
+        return F.struct(used.alias("used"), F.concat(state["hits"], F.array(hit)).alias("hits"))
+
+    done = both.withColumn("_s", F.aggregate(F.coalesce("t", F.array().cast(t.schema["t"].dataType)), start, choose))
+    true = F.transform(F.arrays_zip(F.transform("t", lambda x: x["k"].cast("bigint")).alias("k"), F.col("_s.hits").alias("hit")), lambda z: F.struct(z["k"].alias("k"), z["hit"].alias("hit"), F.lit(0).cast("bigint").alias("extra")))
+    rest = F.struct(F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("boolean").alias("hit"), (F.size("_found") - F.size("_s.used")).cast("bigint").alias("extra"))
+    kind = "array<struct<k:bigint,hit:boolean,extra:bigint>>"
+    return done.select(*keys, F.explode(F.concat(F.coalesce(true.cast(kind), F.array().cast(kind)), F.array(rest).cast(kind))).alias("_r")).select(*keys, "_r.*")
+
+
+class Scan:
+    """Boxes kept so far, found again by size and place: a box can overlap another by more than ``most`` of their union only
+    if their widths and heights differ by no more than that factor and their centres by less than the larger one."""
+
+    def __init__(self, most: float):
+        self.most, self.kept = most, {}
+
+    def _cell(self, box: list) -> tuple[int, int, int]:
+        w = max(box[2] - box[0], 1e-9)
+        if self.most < 0.05:
+            return 0, 0, 0
+        level = math.floor(math.log(w) / -math.log(self.most)) if self.most < 1 else 0
+        size = (1 / self.most) ** (level + 2)
+        return level, math.floor((box[0] + box[2]) / 2 / size), math.floor((box[1] + box[3]) / 2 / size)
+
+    def _near(self, box: list) -> Iterator[list]:
+        if self.most < 0.05:
+            yield from self.kept.get((0, 0, 0), [])
+            return
+        level = self._cell(box)[0]
+        for own in (level - 1, level, level + 1):
+            size = (1 / self.most) ** (own + 2)
+            x, y = (math.floor((box[i] + box[i + 2]) / 2 / size) for i in (0, 1))
+            for i in (x - 1, x, x + 1):
+                for j in (y - 1, y, y + 1):
+                    yield from self.kept.get((own, i, j), [])
+
+    def take(self, box: list) -> bool:
+        """Whether no kept box overlaps by more than ``most``; if so the box is kept too."""
+        for k in self._near(box):
+            w, h = min(box[2], k[2]) - max(box[0], k[0]), min(box[3], k[3]) - max(box[1], k[1])
+            both = max(w, 0) * max(h, 0)
+            union = (box[2] - box[0]) * (box[3] - box[1]) + (k[2] - k[0]) * (k[3] - k[1]) - both + 1e-9
+            if both / union > self.most:
+                return False
+        self.kept.setdefault(self._cell(box), []).append(box)
+        return True
 
 
 def suppress(df: DataFrame, keys: list[str], order: list[str], box: str, most: float = 0.7) -> DataFrame:
     """Rows kept by greedy suppression in scan order: one overlapping a kept row by more than ``most`` is dropped.
 
-    The rows of a group are few (an image's boxes); they are folded as an array inside the JVM. Rows without box are
-    dropped.
+    Of equal boxes only the first can be kept, so they are collapsed first, partially in every task; what is left of a key
+    streams through one task in order, with an index of the kept boxes, of which a place holds few. Boxes without extent
+    overlap nothing and are all kept. Rows without box or with a null in it are dropped.
     """
-    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(box).alias("box"), F.struct(*df.columns).alias("row"))
-    groups = df.where(F.col(box).isNotNull()).groupBy(F.struct(*keys).alias("_group")).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
-    kind = groups.schema["_rows"].dataType.simpleString()
-    kept = F.aggregate(
-        "_rows",
-        F.array().cast(kind),
-        lambda out, i: F.when(F.exists(out, lambda k: iou(k["box"], i["box"]) > most), out).otherwise(F.concat(out, F.array(i))),
-    )
-    return groups.select(F.explode(F.transform(kept, lambda k: k["row"])).alias("_r")).select("_r.*")
+    rows = df.where(F.col(box).isNotNull() & F.forall(box, lambda v: v.isNotNull()) & (F.size(box) == 4))
+    flat = (F.get(box, F.lit(2)) <= F.get(box, F.lit(0))) | (F.get(box, F.lit(3)) <= F.get(box, F.lit(1)))
+    first = rows.where(~flat).groupBy(*keys, F.col(box).alias("_box")).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    solid = first.select("_row.*")
 
+    def fold():
+        scan = Scan(most)
+        return lambda key, row: dict(row) if scan.take([float(v) for v in row[box]]) else None
 
-def covered_suppress(masks: list[np.ndarray], most: float = 0.5) -> list[int]:
-    """Numbers of masks kept when one mostly covered by the earlier kept ones is dropped."""
-    seen, out = None, []
-    for i, m in enumerate(masks):
-        size = int(m.sum())
-        if size and (seen is None or (m & seen).sum() <= most * size):
-            seen = m.copy() if seen is None else seen | m
-            out.append(i)
-    return out
-
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return streamed(solid, keys, order, fold, shape).unionByName(rows.where(flat))
 
-def name_two(centres: list[np.ndarray], features: list[np.ndarray]) -> list[int]:
-    """Which of two centres each of one or two outlines belongs to: the nearer, or the cheaper of both ways (ties: the first)."""
-    d = [[float(((f - c) ** 2).sum()) for c in centres] for f in features]
-    if len(d) == 1:
-        return [0 if d[0][0] <= d[0][1] else 1]
-    return [0, 1] if d[0][0] + d[1][1] <= d[0][1] + d[1][0] else [1, 0]

@@ -24,6 +24,22 @@ class OutlineRules:
     fragment_reach: int = 15
 
 
+# The texts of the reasons, in the order they are given; those of two go on with the list's own words.
+REASONS = {
+    "none": "no robot outlined",
+    "one": "only one robot found",
+    "many": "more than two robot-sized things",
+    "missed": "a region got no clean outline",
+    "change": "unlabelled change",
+    "static": "static object",
+    "edge": "robot at the arena edge",
+    "piece": "second outline may be a piece of the first",
+    "contact": "robots in contact",
+    "clip": "clip not trusted: ",
+    "review": "rejected on review: ",
+}
+
+
 def outline_reasons(rules: OutlineRules = OutlineRules(), contact: Column | None = None, untrusted: Column | None = None, rejected: Column | None = None) -> Column:
     """Why a frame of outlines (``robots, extra, missed, unlabelled``) isn't trusted; empty means it is.
 
@@ -35,22 +51,13 @@ def outline_reasons(rules: OutlineRules = OutlineRules(), contact: Column | None
     by_area = F.array_sort(robots, lambda a, b: F.when(a["area"] < b["area"], -1).when(a["area"] > b["area"], 1).otherwise(0))
     small, big = F.get(by_area, F.lit(0)), F.get(by_area, F.lit(1))
     fragment = (n == 2) & (small["area"] < rules.fragment * big["area"]) & touches(small["bbox"], big["bbox"], rules.fragment_reach)
-    listed = [
-        (n == 0, "no outline"),
-        (n == 1, "one outline only"),
-        ((n > 2) | F.col("extra"), "too many outlines"),
-        (F.col("missed"), "region missed"),
-        (F.col("unlabelled") > rules.max_unlabelled, "unlabelled change"),
-        (F.exists(robots, lambda r: r["moving"] < rules.min_moving), "standing still"),
-        (F.exists(robots, lambda r: r["at_edge"]), "at the edge"),
-        (fragment, "fragment"),
-    ]
-    if contact is not None:
-        listed.append((contact, "in contact"))
-    if untrusted is not None:
-        listed.append((untrusted.isNotNull(), F.concat(F.lit("clip not trusted: "), untrusted)))
-    if rejected is not None:
-        listed.append((rejected.isNotNull(), F.concat(F.lit("rejected: "), rejected)))
+    holds = {
+        "none": n == 0, "one": n == 1, "many": (n > 2) | F.col("extra"), "missed": F.col("missed"), "change": F.col("unlabelled") > rules.max_unlabelled,
+        "static": F.exists(robots, lambda r: r["moving"] < rules.min_moving), "edge": F.exists(robots, lambda r: r["at_edge"]), "piece": fragment,
+        "contact": contact, "clip": None if untrusted is None else untrusted.isNotNull(), "review": None if rejected is None else rejected.isNotNull(),
+    }
+    said = {"clip": untrusted, "review": rejected}
+    listed = [(holds[k], F.concat(F.lit(t), said[k]) if k in said else t) for k, t in REASONS.items() if holds[k] is not None]
     return reasons(*listed)
 
 

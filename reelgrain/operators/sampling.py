@@ -2,29 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgrain.functions.numeric import unit
+from reelgrain.operators.ranks import numbered
+from reelgrain.sources.scratch import Scratch
 
 
-def two_level(images: DataFrame, pool: DataFrame, image: str, group: str, member: str, seed: int, avoid: Column | None = None) -> DataFrame:
+def _counted(df: DataFrame, keys: list[str], id_: str, name: str) -> DataFrame:
+    """``df`` with ``name``: 0, 1, ... per key in the order of a digest of ``id_``, which is as good as any for a uniform
+    draw and spreads a hot key over buckets of the digest."""
+    rows = df.withColumn("_h", F.md5(F.col(id_).cast("string").cast("binary")))
+    return numbered(rows, keys, ["_h", id_], F.substring("_h", 1, 2), "_n1").withColumn(name, F.col("_n1") - 1).drop("_h", "_n1")
+
+
+def two_level(images: DataFrame, pool: DataFrame, image: str, group: str, member: str, seed: int) -> DataFrame:
     """Per image a uniform group, then a uniform member of it: ``image, group, member``.
 
-    Groups are numbered; the image's hash points at one of them and at a member number, so the pool isn't crossed with
-    the images. ``avoid`` isn't drawn from the pool columns here; filter the pool instead. An empty pool draws nothing.
+    Groups and members are numbered; the image's hash points at one of them, so the pool isn't crossed with the images.
+    Null groups and members aren't drawn; an empty pool draws nothing.
     """
-    names = pool.select(group).where(F.col(group).isNotNull()).distinct()
-    sizes = pool.where(F.col(group).isNotNull() & F.col(member).isNotNull()).groupBy(group).agg(F.countDistinct(member).alias("_n"))
-    ranked = names.join(sizes, group).withColumn("_g", F.row_number().over(Window.orderBy(group)) - 1)
+    members = _counted(pool.where(F.col(group).isNotNull() & F.col(member).isNotNull()).select(group, member).distinct(), [group], member, "_m")
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_size")).withColumn("_one", F.lit(1))
+    ranked = _counted(sizes, ["_one"], group, "_g").drop("_one")
     whole = ranked.agg(F.count(F.lit(1)).alias("_groups"))
-    members = pool.where(F.col(member).isNotNull()).select(group, member).distinct().withColumn("_m", F.row_number().over(Window.partitionBy(group).orderBy(member)) - 1)
     picks = images.select(image).distinct().crossJoin(F.broadcast(whole)).where("_groups > 0")
-    picks = picks.withColumn("_g", F.floor(unit(image, seed=seed) * F.col("_groups")).cast("int"))
-    picks = picks.join(ranked, "_g").withColumn("_m", F.floor(unit(image, seed=seed + 1) * F.col("_n")).cast("int"))
+    picks = picks.withColumn("_g", F.floor(unit(image, seed=seed) * F.col("_groups")))
+    picks = picks.join(ranked, "_g").withColumn("_m", F.floor(unit(image, seed=seed + 1) * F.col("_size")))
     return picks.join(members, [group, "_m"]).select(image, group, member)
 
 
+def other_group(images: DataFrame, pool: DataFrame, image: str, group: str, member: str, clip: str, seed: int) -> DataFrame:
+    """Per image a uniform group whose first member (by name) is not from the image's own clip: ``image, group``.
+
+    Groups are numbered with those of a clip side by side, so leaving out a clip is a gap in the numbers, and a draw is one
+    look-up. Images without clip may draw any group; groups without clip belong to none; no group left draws nothing.
+    """
+    first = pool.where(F.col(group).isNotNull() & F.col(member).isNotNull()).groupBy(group).agg(F.min_by(F.coalesce(F.col(clip), F.lit("")), member).alias("_c"))
+    rows = first.withColumn("_one", F.lit(1)).withColumn("_h", F.md5(F.col(group).cast("string").cast("binary")))
+    ranked = numbered(rows, ["_one"], ["_c", "_h", group], F.col("_c"), "_n").select(group, "_c", (F.col("_n") - 1).alias("_g"))
+    gaps = ranked.where("_c <> ''").groupBy(F.col("_c").alias(clip)).agg(F.min("_g").alias("_start"), F.count(F.lit(1)).alias("_gap"))
+    whole = ranked.agg(F.count(F.lit(1)).alias("_groups"))
+    picks = images.select(image, clip).join(gaps, clip, "left").crossJoin(F.broadcast(whole))
+    left = F.col("_groups") - F.coalesce("_gap", F.lit(0))
+    at = F.floor(unit(image, seed=seed) * left)
+    picks = picks.where(left > 0).withColumn("_g", F.when(at >= F.col("_start"), at + F.col("_gap")).otherwise(at))
+    return picks.join(ranked, "_g").select(image, group)
+
+
 def draw_kind(image: Column | str, shares: list[tuple[str, float]], seed: int) -> Column:
     """A kind by its share, the same through all attempts of an image."""
     u, at, out = unit(image, seed=seed), 0.0, None
@@ -34,14 +60,40 @@ def draw_kind(image: Column | str, shares: list[tuple[str, float]], seed: int) -
     return out.otherwise(shares[-1][0]) if out is not None else F.lit(shares[-1][0])
 
 
-def first_accepted(images: DataFrame, image: str, attempts: int, columns: dict[str, Column], accept: Column) -> DataFrame:
-    """Rejection sampling: per image the first attempt that is accepted, of at most ``attempts``.
+def first_accepted(images: DataFrame, image: str, attempts: int, columns: dict[str, Column], accept: Column, most: int = 10_000) -> DataFrame:
+    """Rejection sampling: per image (one row each) the first attempt that is accepted.
 
-    ``columns`` may use ``attempt``. Images without an accepted attempt come back with null columns.
+    ``columns`` may use ``attempt``. ``attempts`` are made at once; images none of which was accepted make the next ones,
+    until none is left. An image that has none accepted in ``most`` attempts comes back with null columns.
+    """
+    scratch = Scratch(images.sparkSession, "draws")
+    todo, done, at = images, None, 0
+    while True:
+        tried = todo.withColumn("attempt", F.explode(F.sequence(F.lit(at), F.lit(at + attempts - 1)))).withColumns(columns).where(accept)
+        best = scratch.write(tried.groupBy(image).agg(F.min_by(F.struct("attempt", *columns), "attempt").alias("_b")))
+        done = best if done is None else done.unionByName(best)
+        at += attempts
+        todo = scratch.write(todo.join(best.select(image), image, "left_anti"))
+        if at >= most or todo.isEmpty():
+            return images.join(done, image, "left").select(*images.columns, "_b.*")
+
+
+def accepted_until(spark: SparkSession, n: int, columns: dict[str, Column], accept: Column, start: int = 0, most: int = 1 << 40) -> DataFrame:
+    """Rejection sampling until ``n`` attempts are accepted: ``number`` from ``start``, ``attempt`` and ``columns``.
+
+    Attempts are numbered from 0 and judged in parallel; twice as many are judged until enough are accepted, and of those
+    the first ``n`` count. Fewer than ``n`` accepted in ``most`` attempts is an error, not a shorter sample.
     """
-    tried = images.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).withColumns(columns).where(accept)
-    best = tried.groupBy(image).agg(F.min_by(F.struct("attempt", *columns), "attempt").alias("_b"))
-    return images.join(best, image, "left").select(*images.columns, "_b.*")
+    tries = max(2 * n, 1000)
+    while True:
+        made = spark.range(tries).withColumnRenamed("id", "attempt").withColumns(columns).where(accept)
+        if made.count() >= n:
+            break
+        if tries >= most:
+            raise ValueError(f"fewer than {n} of {tries} attempts were accepted")
+        tries *= 2
+    rows = numbered(made.withColumn("_one", F.lit(1)), ["_one"], ["attempt"], F.floor(F.col("attempt") / 10_000), "_n").where(F.col("_n") <= n)
+    return rows.select((F.col("_n") - 1 + start).alias("number"), "attempt", *columns)
 
 
 def second_place(image: Column | str, x: Column, y: Column, width: Column, seed: int) -> list[Column]:
@@ -55,7 +107,7 @@ def second_place(image: Column | str, x: Column, y: Column, width: Column, seed:
 
 def stratified(df: DataFrame, keys: list[str], id_: str, k: int, seed: int) -> DataFrame:
     """``k`` rows per key by hash order; a group limit keeps k rows per task before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), id_), id_)
+    w = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_).cast("string")).cast("binary")), id_)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 

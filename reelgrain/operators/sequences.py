@@ -172,12 +172,25 @@ def running_max(df: DataFrame, keys: list[str], order: list[str], bucket: Column
     return local.select(*df.columns, F.greatest("_l", "_o").alias(name))
 
 
-def ends(df: DataFrame, order: list[Column], k: int) -> DataFrame:
+def ends(df: DataFrame, order: list[tuple[str, bool]], k: int) -> DataFrame:
     """The first and last ``k`` rows in an order (all of at most ``2 k``), with ``end`` first or last.
 
-    Two top-k reports: each task keeps k rows, nothing is sorted whole.
+    ``order`` lists columns and whether they ascend; nulls come last either way. Two top-k reports: each task keeps k rows,
+    nothing is sorted whole.
     """
-    head = df.orderBy(*order).limit(k).withColumn("end", F.lit("first"))
-    flipped = [c.desc() if "DESC" not in str(c) else c.asc() for c in order]
-    tail = df.orderBy(*flipped).limit(k).withColumn("end", F.lit("last"))
+    way = lambda c, up: F.asc_nulls_last(c) if up else F.desc_nulls_last(c)
+    head = df.orderBy(*[way(c, up) for c, up in order]).limit(k).withColumn("end", F.lit("first"))
+    tail = df.orderBy(*[way(c, not up) for c, up in order]).limit(k).withColumn("end", F.lit("last"))
     return head.unionByName(tail).dropDuplicates(df.columns)
+
+
+def held_out(df: DataFrame, keys: list[str], order: list[str], bucket: Column, train: float) -> DataFrame:
+    """Rows not among the ``ceil(n * train)`` spread evenly over a key's order, both ends included."""
+    rows = numbered(df, keys, order, bucket, "_rn")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(sizes, keys).withColumn("_m", F.ceil(F.round(F.col("_n") * train, 9))).withColumn("_i", F.col("_rn") - 1)
+    # position i is one of floor(j (n - 1) / (m - 1)) exactly if the first j that reaches it gives it back
+    j = F.when(F.col("_m") > 1, F.floor((F.col("_i") * (F.col("_m") - 1) + F.col("_n") - 2) / (F.col("_n") - 1))).otherwise(F.lit(0))
+    back = F.when(F.col("_m") > 1, F.floor(j * (F.col("_n") - 1) / (F.col("_m") - 1))).otherwise(F.lit(0))
+    kept = (F.col("_m") > 0) & ((F.col("_n") == 1) | ((back == F.col("_i")) & (j < F.col("_m"))))
+    return rows.where(~kept).select(*df.columns)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from reelgrain.plans import frames, images
+from reelgrain.plans import frames, images, masks
 
-MODULES = [frames, images]
+MODULES = [frames, images, masks]
 
 
 def queries() -> dict[str, Callable]:

@@ -236,9 +236,7 @@ def pages_of_nine(spark, d):
 def best_and_worst(spark, d):
     """The three best and three worst of a ranking."""
     p = table(spark, d, "part").select("p_partkey", "p_retailprice")
-    head = p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(3).withColumn("end", F.lit("first"))
-    tail = p.orderBy("p_retailprice", F.desc("p_partkey")).limit(3).withColumn("end", F.lit("last"))
-    return head.unionByName(tail).select("p_partkey", "end")
+    return sequences.ends(p, [("p_retailprice", False), ("p_partkey", True)], 3).select("p_partkey", "end")
 
 
 @query(f"with {FRAMES}, f as (select clip, frame, row_number() over (partition by clip order by frame) as k from held where accepted) select clip, frame, k::bigint as number from f")
@@ -250,15 +248,17 @@ def renumbered(spark, d):
 
 
 @query(f"""with {OUTLINES}, s as (select *, row_number() over (partition by clip order by frame) as rn from outl where k = 0),
-b as (select clip, frame, rn, area < 0.6 * a0 or area > 1.6 * a0 or on_change < 0.55 as lost from (select *, lag(area) over (partition by clip order by rn) as a0 from s)),
+w as (select *, lag(area) over q as a0, (bbox[1] + bbox[3]) / 2.0::double as cx, (bbox[2] + bbox[4]) / 2.0::double as cy, lag(bbox) over q as b0 from s window q as (partition by clip order by rn)),
+b as (select clip, frame, rn, coalesce(not (area / nullif(a0, 0)::double between 0.6 and 1.6), false) or coalesce(sqrt(power(cx - (b0[1] + b0[3]) / 2.0::double, 2) + power(cy - (b0[2] + b0[4]) / 2.0::double, 2)) > 90, false) or coalesce(on_change < 0.55, false) as lost from w),
 t as (select clip, min(rn) filter (where lost) as gone from b group by clip)
 select clip, frame from b join t using (clip) where rn < coalesce(gone, 9e18)""")
 def follow_until_lost(spark, d):
-    """Frames of the first outline of each clip up to where it can't be the same any more."""
-    o = base.outlines(spark, d).where("k = 0").select("clip", "frame", F.col("area").cast("double").alias("area"), "on_change")
-    rows = sequences.neighbours(o, ["clip"], ["frame"], by_frame(), {"before": "area"}, {})
-    lost = (F.col("area") < 0.6 * F.col("before")) | (F.col("area") > 1.6 * F.col("before")) | (F.col("on_change") < 0.55)
-    return folds.followed(rows, ["clip"], ["frame"], lost, by_frame()).select("clip", "frame")
+    """Frames of the first outline of each clip up to where it can't be the same any more: its size, place or change."""
+    at = lambda i: (F.get("bbox", F.lit(i)) + F.get("bbox", F.lit(i + 2))) / 2
+    o = base.outlines(spark, d).where("k = 0").select("clip", "frame", F.col("area").cast("double").alias("area"), at(0).alias("cx"), at(1).alias("cy"), "on_change")
+    rows = sequences.neighbours(o, ["clip"], ["frame"], by_frame(), {"a0": "area", "x0": "cx", "y0": "cy"}, {})
+    jump = F.sqrt((F.col("cx") - F.col("x0")) * (F.col("cx") - F.col("x0")) + (F.col("cy") - F.col("y0")) * (F.col("cy") - F.col("y0")))
+    return folds.followed(rows, ["clip"], ["frame"], folds.lost_track(F.col("area"), F.col("a0"), jump, F.col("on_change")), by_frame()).select("clip", "frame")
 
 
 @query(f"with {_CONTACT}, n as (select *, row_number() over (partition by clip order by frame) as rn from c) select clip, frame from n where rn % 2 = 1")
@@ -272,14 +272,16 @@ def one_in_two_touching(spark, d):
 _GROWN = "(o[1] - 60 <= p[3] and p[1] - 60 <= o[3] and o[2] - 60 <= p[4] and p[2] - 60 <= o[4])"
 
 
-@query(f"""with recursive {FRAMES}, n as (select clip, frame, coalesce([r.bbox for r in robots if r.bbox is not null], []) as b, row_number() over (partition by clip order by frame) as rn from held),
+_FOLD = f"""{FRAMES}, n as (select clip, frame, coalesce([r.bbox for r in robots if r.bbox is not null], []) as b, row_number() over (partition by clip order by frame) as rn from held),
 f(clip, frame, rn, pair, contact) as (
  select clip, frame, rn, case when len(b) = 2 then b end, false from n where rn = 1
  union all
  select n.clip, n.frame, n.rn, case when len(n.b) = 2 then n.b when x.hit then [n.b[1], n.b[1]] end, x.hit
  from f join n on n.clip = f.clip and n.rn = f.rn + 1,
- lateral (select coalesce(len(n.b) = 1 and f.pair is not null and {_GROWN.replace('o[', 'n.b[1][').replace('p[', 'f.pair[1][')} and {_GROWN.replace('o[', 'n.b[1][').replace('p[', 'f.pair[2][')}, false) as hit) x)
-select clip, frame, contact from f""")
+ lateral (select coalesce(len(n.b) = 1 and f.pair is not null and {_GROWN.replace('o[', 'n.b[1][').replace('p[', 'f.pair[1][')} and {_GROWN.replace('o[', 'n.b[1][').replace('p[', 'f.pair[2][')}, false) as hit) x)"""
+
+
+@query(f"with recursive {_FOLD} select clip, frame, contact from f")
 def contact_fold(spark, d):
     """Whether a frame's one box stands for two robots in contact, carried through chains of such frames."""
     f = base.frames(spark, d, "robots").select("clip", "frame", F.transform("robots", lambda r: r["bbox"]).alias("boxes"))
@@ -292,22 +294,27 @@ def reason_counts(spark, d):
     return aggregates.reason_counts(base.frames(spark, d, "reasons"), "reasons")
 
 
-_RULES = """case when coalesce(len(robots), 0) = 0 then 'no outline' end, case when len(robots) = 1 then 'one outline only' end,
-case when coalesce(len(robots), 0) > 2 or extra then 'too many outlines' end, case when missed then 'region missed' end, case when unlabelled > 0.25 then 'unlabelled change' end,
-case when len([r for r in robots if r.moving < 0.15]) > 0 then 'standing still' end, case when len([r for r in robots if r.at_edge]) > 0 then 'at the edge' end"""
+_SAID = rules.REASONS
+_RULES = f"""case when coalesce(len(robots), 0) = 0 then '{_SAID["none"]}' end, case when len(robots) = 1 then '{_SAID["one"]}' end,
+case when coalesce(len(robots), 0) > 2 or extra then '{_SAID["many"]}' end, case when missed then '{_SAID["missed"]}' end, case when unlabelled > 0.25 then '{_SAID["change"]}' end,
+case when len([r for r in robots if r.moving < 0.15]) > 0 then '{_SAID["static"]}' end, case when len([r for r in robots if r.at_edge]) > 0 then '{_SAID["edge"]}' end"""
 
 
-@query(f"""with {FRAMES}, q as (select lower(regexp_replace(clip, '^\\s+|\\s+$', '', 'g')) as clip, frame, coalesce(min(why), '') as why from rejected where frame is not null group by 1, 2),
-s as (select h.*, q.why, list_sort([robots[1].area, robots[2].area]) as areas from held h left join q using (clip, frame)),
+@query(f"""with recursive {_FOLD}, q as (select lower(regexp_replace(clip, '^\\s+|\\s+$', '', 'g')) as clip, frame, coalesce(min(why), '') as why from rejected where frame is not null group by 1, 2),
+u as (select lower(regexp_replace(clip, '^\\s+|\\s+$', '', 'g')) as clip, min('source not known') as note from clips where source is null group by 1),
+s as (select h.*, q.why, f.contact, u.note, list_sort([robots[1].area, robots[2].area]) as areas from held h left join q using (clip, frame) left join f using (clip, frame) left join u using (clip)),
 e as (select clip, frame, array_to_string([x for x in [{_RULES}, case when len(robots) = 2 and areas[1] < 0.07 * areas[2] and
- (robots[1].bbox[1] - 15 <= robots[2].bbox[3] and robots[2].bbox[1] - 15 <= robots[1].bbox[3] and robots[1].bbox[2] - 15 <= robots[2].bbox[4] and robots[2].bbox[2] - 15 <= robots[1].bbox[4]) then 'fragment' end,
- case when why is not null then 'rejected: ' || why end] if x is not null], '|') as reasons from s) select clip, frame, reasons from e""")
+ (robots[1].bbox[1] - 15 <= robots[2].bbox[3] and robots[2].bbox[1] - 15 <= robots[1].bbox[3] and robots[1].bbox[2] - 15 <= robots[2].bbox[4] and robots[2].bbox[2] - 15 <= robots[1].bbox[4]) then '{_SAID["piece"]}' end,
+ case when contact then '{_SAID["contact"]}' end, case when note is not null then '{_SAID["clip"]}' || note end, case when why is not null then '{_SAID["review"]}' || why end] if x is not null], '|') as reasons from s) select clip, frame, reasons from e""")
 def outline_reasons(spark, d):
-    """Why each frame isn't trusted, by the rules over its outlines and the review list."""
+    """Why each frame isn't trusted: by the rules over its outlines, contact carried over the clip, and the lists of clips
+    and frames."""
     f = base.frames(spark, d, "robots", "extra", "missed", "unlabelled")
     why = table(spark, d, "rejected").where("frame is not null").groupBy(clean_clip(F.col("clip")).alias("clip"), "frame").agg(F.coalesce(F.min("why"), F.lit("")).alias("why"))
-    out = f.join(why, ["clip", "frame"], "left")
-    return out.select("clip", "frame", F.array_join(rules.outline_reasons(rejected=F.col("why")), "|").alias("reasons"))
+    note = table(spark, d, "clips").where("source is null").select(clean_clip(F.col("clip")).alias("clip"), F.lit("source not known").alias("note")).distinct()
+    touching = folds.contact_fold(f.select("clip", "frame", F.transform("robots", lambda r: r["bbox"]).alias("boxes")), ["clip"], "frame", "boxes")
+    out = f.join(why, ["clip", "frame"], "left").join(touching, ["clip", "frame"], "left").join(note, "clip", "left")
+    return out.select("clip", "frame", F.array_join(rules.outline_reasons(contact=F.col("contact"), untrusted=F.col("note"), rejected=F.col("why")), "|").alias("reasons"))
 
 
 @query(f"""with {FRAMES}, q as (select distinct lower(regexp_replace(clip, '^\\s+|\\s+$', '', 'g')) as clip, frame from rejected) select h.clip, h.frame from held h semi join q using (clip, frame)""")
@@ -370,46 +377,98 @@ def outline_iou(spark, d):
     return f.select("clip", "frame", F.round(g.iou(F.col("a"), F.col("b")), 9).alias("iou"))
 
 
-@query(f"""with {OUTLINES}, r as (select clip, frame, k, round_even(on_change::decimal(30,20), 1)::double as rounded from outl where on_change is not null)
-select rounded, count(*)::bigint as n from (select round_even(on_change, 1) as rounded from outl where on_change is not null and abs(on_change * 10 % 1 - 0.5) > 0.01) group by 1""")
+@query(f"""with {OUTLINES} select printf('%.1f', on_change)::double as rounded, count(*)::bigint as n from outl where on_change is not null group by 1""")
 def even_rounding(spark, d):
-    """Outlines by their rounded share of changed pixels (values at a tie left to the tests)."""
-    o = base.outlines(spark, d).where("on_change is not null and abs(on_change * 10 % 1 - 0.5) > 0.01")
-    return o.groupBy(num.even_round(F.col("on_change"), 1).alias("rounded")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def even_rounding_all(spark, d):
-    """All outlines by their rounded share of changed pixels, those at or near a tie by the exact binary value."""
+    """All outlines by their rounded share of changed pixels; ties and near ties go by the exact binary value."""
     o = base.outlines(spark, d).where("on_change is not null")
     return o.groupBy(num.even_round(F.col("on_change"), 1).alias("rounded")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""with recursive {OUTLINES}, o as (select clip, frame, k, (bbox[1] + bbox[3]) / 2.0::double as x, bbox[4]::double as y from outl where bbox is not null),
+q as (select clip, frame, lag(frame) over (partition by clip order by frame) as before from held),
+c as (select o.clip, o.frame, o.k, p.k as k0, sqrt((o.x - p.x) * (o.x - p.x) + (o.y - p.y) * (o.y - p.y)) as cost from o join q using (clip, frame) join o p on p.clip = o.clip and p.frame = q.before),
+r as (select *, row_number() over (partition by clip, frame order by cost, k, k0) as rn from c where cost <= 70),
+t(clip, frame, rn, k, k0, cost, taken, ls, rs) as (select clip, frame, rn, k, k0, cost, true, [k], [k0] from r where rn = 1
+ union all select r.clip, r.frame, r.rn, r.k, r.k0, r.cost, x.ok, case when x.ok then list_append(t.ls, r.k) else t.ls end, case when x.ok then list_append(t.rs, r.k0) else t.rs end
+ from t join r on r.clip = t.clip and r.frame = t.frame and r.rn = t.rn + 1, lateral (select not list_contains(t.ls, r.k) and not list_contains(t.rs, r.k0) as ok) x)
+select clip, frame, k, k0, round(cost, 9) as cost from t where taken""")
 def greedy_match(spark, d):
     """Outlines of each kept frame matched one to one with those of the frame before, cheapest pair first."""
     o = base.outlines(spark, d).where("bbox is not null").withColumn("at", g.stand(F.col("bbox"))).select("clip", "frame", "k", "at")
     f = sequences.neighbours(base.frames(spark, d, "item_id"), ["clip"], ["frame"], by_frame(), {"before": "frame"}, {}).select("clip", "frame", "before")
     prev = o.select("clip", F.col("frame").alias("before"), F.col("k").alias("k0"), F.col("at").alias("at0"))
     pairs = o.join(f, ["clip", "frame"]).join(prev, ["clip", "before"])
-    cost = F.hypot(F.col("at.x") - F.col("at0.x"), F.col("at.y") - F.col("at0.y"))
-    return matching.greedy_assign(pairs.withColumn("cost", cost).where("cost <= 70"), ["clip", "frame"], "k", "k0", "cost")
+    x, y = F.col("at.x") - F.col("at0.x"), F.col("at.y") - F.col("at0.y")
+    out = matching.greedy_assign(pairs.withColumn("cost", F.sqrt(x * x + y * y)).where("cost <= 70"), ["clip", "frame"], "k", "k0", "cost")
+    return out.withColumn("cost", F.round("cost", 9))
 
 
-@query()
+_POSE = "case when on_change >= 0.55 and not coalesce(at_edge, false) then case when moving < 0.15 then 'still' when (bbox[3] - bbox[1]) / (40 + 0.2 * bbox[4]) > 1.4 then 'lifted' end end"
+
+
+@query(f"""with recursive {OUTLINES}, p as (select clip, frame, k, bbox, {_POSE} as kind from outl), r as (select *, row_number() over (partition by clip, kind order by frame, k) as rn from p where kind is not null and bbox is not null),
+t(clip, kind, frame, k, rn, hit, kept) as (select clip, kind, frame, k, rn, false, [bbox] from r where rn = 1
+ union all select r.clip, r.kind, r.frame, r.k, r.rn, x.hit, case when x.hit then t.kept else list_append(t.kept, r.bbox) end from t join r on r.clip = t.clip and r.kind = t.kind and r.rn = t.rn + 1,
+ lateral (select len([o for o in t.kept if greatest(least(o[3], r.bbox[3]) - greatest(o[1], r.bbox[1]), 0)::double * greatest(least(o[4], r.bbox[4]) - greatest(o[2], r.bbox[2]), 0) /
+  ((o[3] - o[1]) * (o[4] - o[2]) + (r.bbox[3] - r.bbox[1]) * (r.bbox[4] - r.bbox[2]) - greatest(least(o[3], r.bbox[3]) - greatest(o[1], r.bbox[1]), 0)::double * greatest(least(o[4], r.bbox[4]) - greatest(o[2], r.bbox[2]), 0) + 1e-9::double) > 0.7]) > 0 as hit) x)
+select clip, kind, frame, k from t where not hit""")
 def suppressed_outlines(spark, d):
-    """Outlines of a frame without those that mostly repeat an earlier one."""
-    o = base.outlines(spark, d).select("clip", "frame", "k", "bbox")
-    return matching.suppress(o, ["clip", "frame"], ["k"], "bbox").select("clip", "frame", "k")
+    """Poses of each clip and kind without those that mostly repeat an earlier one."""
+    b = lambda i: F.get("bbox", F.lit(i))
+    kind = rules.pose_kind(F.col("on_change"), F.col("at_edge"), F.col("moving"), (b(2) - b(0)) / (40 + 0.2 * b(3)))
+    o = base.outlines(spark, d).withColumn("kind", kind).where("kind is not null").select("clip", "kind", "frame", "k", "bbox")
+    return matching.suppress(o, ["clip", "kind"], ["frame", "k"], "bbox").select("clip", "kind", "frame", "k")
 
 
-@query()
+def _tracks_sql() -> str:
+    """The tracks as a recursive query: one step a frame, both tracks of a clip as structs."""
+    step = lambda t: f"""struct_pack(x := {t}.x + {t}.vx * dt, y := {t}.y + {t}.vy * dt, vx := {t}.vx, vy := {t}.vy, p := {t}.p + dt * (2 * {t}.c + dt * {t}.q + 1.0::double), c := {t}.c + dt * {t}.q, q := {t}.q + 400.0::double * dt, stale := {t}.stale, level := {t}.level, area := {t}.area)"""
+    away = lambda t: f"sqrt(({t}.x - u.cx) * ({t}.x - u.cx) + ({t}.y - u.cy) * ({t}.y - u.cy))"
+    inside = lambda t, u, pad: f"({u}.x - {pad} <= {t}.x and {t}.x <= {u}.x + {u}.w + {pad} and {u}.y - {pad} <= {t}.y and {t}.y <= {u}.y + {u}.h + {pad})"
+    cost = lambda t: f"[case when {away(t)} <= 70.0::double * (1 + 0.5::double * {t}.stale) or {inside(t, 'u', 0)} then {away(t)} + coalesce(0.5::double * abs({t}.level - u.i), 0) + coalesce(30.0::double * abs(ln(u.area / {t}.area)), 0) end for u in bl]"
+
+    def moved(t: str, u: str, noise: str, source: str, stale: str, seen: bool) -> str:
+        gain, speed = f"({t}.p / ({t}.p + {noise}))", f"({t}.c / ({t}.p + {noise}))"
+        mix = lambda c, v: f"case when {t}.{c} is null then {u}.{v}::double else 0.9::double * {t}.{c} + 0.1::double * {u}.{v} end" if seen else f"{t}.{c}"
+        return f"""struct_pack(x := {t}.x + {gain} * ({u}.cx - {t}.x), y := {t}.y + {gain} * ({u}.cy - {t}.y), vx := {t}.vx + {speed} * ({u}.cx - {t}.x), vy := {t}.vy + {speed} * ({u}.cy - {t}.y),
+ p := {t}.p - {gain} * {t}.p, c := {t}.c - {gain} * {t}.c, q := {t}.q - {speed} * {t}.c, stale := {stale}, source := '{source}', level := {mix('level', 'i')}, area := {mix('area', 'area')})"""
+
+    def after(t: str, own: str, other: str) -> str:
+        coast = f"struct_pack(x := {t}.x, y := {t}.y, vx := 0.8::double * {t}.vx, vy := 0.8::double * {t}.vy, p := {t}.p, c := {t}.c, q := {t}.q, stale := {t}.stale + 1, source := 'coast', level := {t}.level, area := {t}.area)"
+        return f"""case when {own} is not null then {moved(t, f'bl[{own}]', '4.0::double', 'blob', '0', True)}
+ when {other} is not null and {inside(t, f'bl[{other}]', 30)} then {moved(t, f'bl[{other}]', '400.0::double', 'clinch', f'{t}.stale + 1', False)} else {coast} end"""
+
+    skip = lambda costs, at: f"[case when i = {at} then null else {costs}[i] end for i in range(1, len({costs}) + 1)]"
+    first = lambda costs: f"case when list_min({costs}) is not null then list_position({costs}, list_min({costs})) end"
+    new = lambda c: f"struct_pack(x := {c}.x, y := {c}.y, vx := 0.0::double, vy := 0.0::double, p := 10.0::double, c := 0.0::double, q := 10.0::double, stale := 0, source := 'init', level := null::double, area := null::double)"
+    body = f"""select clip, frame, rn, {after('pa', 'ja', 'jb')} as a, {after('pb', 'jb', 'ja')} as b from
+ (select *, case when a_first then {first('ca')} else {first(skip('ca', 'fb'))} end as ja, case when a_first then {first(skip('cb', 'fa'))} else {first('cb')} end as jb from
+ (select *, {first('ca')} as fa, {first('cb')} as fb, list_min(ca) is not null and (list_min(cb) is null or list_min(ca) <= list_min(cb)) as a_first from
+ (select *, {cost('pa')} as ca, {cost('pb')} as cb from (select *, {step('a')} as pa, {step('b')} as pb from (%s)))))"""
+    return f"""with recursive {OUTLINES}, bs as (select clip, frame, {{'cx': (bbox[1] + bbox[3]) / 2.0::double, 'cy': (bbox[2] + bbox[4]) / 2.0::double, 'x': bbox[1], 'y': bbox[2], 'w': bbox[3] - bbox[1] + 1, 'h': bbox[4] - bbox[2] + 1, 'area': area, 'i': coalesce(mean, 0.0)}} as u
+ from outl where bbox is not null and area > 0), fr as (select clip, frame, frame / 98.0::double as ts, list(u order by u) as bl from bs group by clip, frame),
+n as (select *, row_number() over w as rn, case when lag(ts) over w is null then 1 / 98.0::double else greatest(ts - lag(ts) over w, 0.001::double) end as dt from fr join (select clip, min(frame) as f0 from fr where len(bl) >= 2 group by clip) using (clip) where frame >= f0 window w as (partition by clip order by frame)),
+sd as (select clip, list({{'x': cx, 'y': cy}} order by cx, cy) as s from (select clip, u.cx as cx, u.cy as cy, row_number() over (partition by clip order by u.area desc, u.cx, u.cy) as k from (select clip, unnest(bl) as u from n where rn = 1)) where k <= 2 group by clip),
+t(clip, frame, rn, a, b) as ({body % f"select n.clip, n.frame, n.rn, n.bl, n.dt, {new('sd.s[1]')} as a, {new('sd.s[2]')} as b from n join sd using (clip) where n.rn = 1"}
+ union all {body % "select n.clip, n.frame, n.rn, n.bl, n.dt, t.a, t.b from t join n on n.clip = t.clip and n.rn = t.rn + 1"}),
+both_ as (select clip, frame, 'home' as label, a as t from t union all select clip, frame, 'opponent', b from t)
+select clip, frame, label, round(t.x, 6) as x, round(t.y, 6) as y, round(t.vx, 6) as vx, round(t.vy, 6) as vy, t.stale::int as stale, t.source as source from both_"""
+
+
+_TRACKS = _tracks_sql()
+
+
+def _rounded(tracks):
+    return tracks.select("clip", "frame", "label", *[F.round(c, 6).alias(c) for c in ("x", "y", "vx", "vy")], "stale", "source")
+
+
+@query(_TRACKS)
 def kalman_track(spark, d):
     """Two tracks of fixed identity through every clip."""
-    return tracking.track(base.blobs(spark, d))
+    return _rounded(tracking.track(base.blobs(spark, d)))
 
 
-@query()
+@query(_TRACKS)
 def stream_track(spark, d):
     """The same tracks from a stream with state per clip."""
     from reelgrain.sources.scratch import Scratch
@@ -418,7 +477,7 @@ def stream_track(spark, d):
     scratch = Scratch(spark, "stream")
     staged = scratch.write(tracking.frames_of(base.blobs(spark, d)))
     stream = spark.readStream.schema(staged.schema).parquet(scratch.path_of(staged))
-    return tracks.run_all(tracks.track_stream(stream), scratch.root, "tracks")
+    return _rounded(tracks.run_all(tracks.track_stream(stream), scratch.root, "tracks"))
 
 
 @query()

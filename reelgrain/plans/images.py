@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from reelgrain.functions import geometry as g
@@ -356,28 +357,28 @@ def stream_windows(spark, d):
     """Hourly counts from a stream run to its end, compared as plain timestamps."""
     from reelgrain.streaming import tracks
 
-    e = table(spark, d, "events")
-    stream = spark.readStream.schema(e.schema).parquet(_folder(spark, e.select("ts", "event_type", "event_id")))
-    name = f"w_{abs(hash(d)) % 10**8}"
-    tracks.windowed_counts(stream, "ts", "1 hour", "1 hour", ["event_type"]).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    stream, folder = _stream(spark, table(spark, d, "events").select("ts", "event_type", "event_id"))
+    out = tracks.run_complete(tracks.windowed_counts(stream, "ts", "1 hour", "1 hour", ["event_type"]), folder, "windows")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-def _folder(spark, df) -> str:
+def _stream(spark, df):
+    """A stream over the rows written as files, and the folder for what it makes."""
     from reelgrain.sources.scratch import Scratch
 
     scratch = Scratch(spark, "stream")
-    return scratch.path_of(scratch.write(df))
+    return spark.readStream.schema(df.schema).parquet(scratch.path_of(scratch.write(df))), scratch.root
 
 
 @query("""with s as (select user_id, ts, event_id, case when ts < lag(ts) over w + interval 6 hour then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)),
 g as (select user_id, ts, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as g from s)
 select min(ts) as first, max(ts) + interval 6 hour as "end", user_id, count(*)::bigint as n from g group by user_id, g""")
 def session_windows(spark, d):
-    """Sessions of a user's events less than six hours apart."""
+    """Sessions of a user's events less than six hours apart, from a stream run to its end."""
     from reelgrain.streaming import tracks
 
-    out = tracks.session_counts(table(spark, d, "events"), "ts", "1 hour", "6 hours", ["user_id"])
+    stream, folder = _stream(spark, table(spark, d, "events").select("user_id", "ts", "event_id"))
+    out = tracks.run_complete(tracks.session_counts(stream, "ts", "1 hour", "6 hours", ["user_id"]), folder, "sessions")
     return out.select(F.col("first").cast("timestamp_ntz").alias("first"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
 
 
@@ -387,25 +388,155 @@ def floor_planes(spark, d):
     return cloud.floor_plane(table(spark, d, "splat_points"), ["scene"], thick=0.3)
 
 
-@query()
+_PATH = [(-4.0, -4.0), (4.0, -3.0), (5.0, 3.0), (0.0, 5.0), (-5.0, 2.0), (0.0, 0.0)]
+_HULL = [(float(a), float(b)) for a, b in g.hull(np.asarray(_PATH))]
+_INSIDE = " + ".join(f"(({y0}::double > cy) != ({y1}::double > cy) and cx < {repr((x1 - x0) / (y1 - y0))}::double * (cy - {y0}::double) + {x0}::double)::int" for (x0, y0), (x1, y1) in zip(_HULL, _HULL[1:] + _HULL[:1]) if y0 != y1)
+
+
+@query(f"""with {POINTS}, h as (select distinct floor(x::double / 0.25::double)::bigint as gx, floor(y::double / 0.25::double)::bigint as gy from pts where abs(z) < 1),
+c as (select gx, gy, (gx + 0.5::double) * 0.25::double as cx, (gy + 0.5::double) * 0.25::double as cy from (select unnest(range(-20, 21)) as gx), (select unnest(range(-16, 21)) as gy)),
+i as (select gx, gy from c where ({_INSIDE}) % 2 = 1)
+select count(*)::bigint as inside, count(h.gx)::bigint as covered, count(h.gx) / count(*)::double as cover from i left join h using (gx, gy)""")
 def floor_cover(spark, d):
     """How much of the floor within a path's hull holds points, over all scenes."""
     p = base.points(spark, d).where("abs(z) < 1").select("x", "y")
-    return cloud.floor_cover(p, [(-4.0, -4.0), (4.0, -3.0), (5.0, 3.0), (0.0, 5.0), (-5.0, 2.0), (0.0, 0.0)], 0.25)
+    return cloud.floor_cover(p, _PATH, 0.25)
 
 
-@query()
-def cleaned_points(spark, d):
-    """Points without those outside their scene's region, turned by a rotation."""
-    import numpy as np
+_TURN = np.array([[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])
+_W, _X, _Y, _Z = (f"{float(v)!r}::double" for v in splat.matrix_quaternion(_TURN))
+_BOX = "bx as (select scene, " + ", ".join(f"quantile_cont({c}::double, 0.01) as {c}l, quantile_cont({c}::double, 0.99) as {c}h" for c in "xyz") + " from pts group by scene)"
+_IN = " and ".join(f"{c}::double between ({c}l + {c}h) / 2 - ({c}h - {c}l) / 2 * 1.25 and ({c}l + {c}h) / 2 + ({c}h - {c}l) / 2 * 1.25" for c in "xyz")
+
 
+@query(f"""with {POINTS}, {_BOX} select row_id, scene, round(-y::double, 6) as x, round(x::double, 6) as y, round(z::double + 0.5, 6) as z,
+round({_W} * rot_0 - {_X} * rot_1 - {_Y} * rot_2 - {_Z} * rot_3, 6) as rot_0, round({_W} * rot_1 + {_X} * rot_0 + {_Y} * rot_3 - {_Z} * rot_2, 6) as rot_1,
+round({_W} * rot_2 - {_X} * rot_3 + {_Y} * rot_0 + {_Z} * rot_1, 6) as rot_2, round({_W} * rot_3 + {_X} * rot_2 - {_Y} * rot_1 + {_Z} * rot_0, 6) as rot_3 from pts join bx using (scene) where {_IN}""")
+def cleaned_points(spark, d):
+    """Points without those outside their scene's region, turned by a rotation and raised."""
     p = base.points(spark, d)
     marked = cloud.outside(["scene"], p, cloud.region(p, ["scene"]))
-    turn = np.array([[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]])
-    return cloud.cleaned(marked, F.col("outside"), turn, np.array([0.0, 0.0, 0.5])).drop("outside")
+    out = cloud.cleaned(marked, F.col("outside"), _TURN, np.array([0.0, 0.0, 0.5]))
+    return out.select("row_id", "scene", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("x", "y", "z", "rot_0", "rot_1", "rot_2", "rot_3")])
 
 
-@query()
+_CAMS = [(0.0, 0.0, 1.0), (2.0, 1.0, 1.0), (-3.0, 0.5, 2.0), (1.0, -2.0, 1.5)]
+_AWAY = "least(" + ", ".join(f"sqrt((x::double - {a}::double) * (x::double - {a}::double) + (y::double - {b}::double) * (y::double - {b}::double) + (z::double - {c}::double) * (z::double - {c}::double))" for a, b, c in _CAMS) + ")"
+
+
+@query(f"with {POINTS} select row_id, scene, round({_AWAY}, 6) as cam_dist from pts")
+def camera_distances(spark, d):
+    """Distance of each point to the nearest camera."""
+    out = cloud.camera_distance(base.points(spark, d).select("row_id", "scene", "x", "y", "z"), spark.createDataFrame(_CAMS, "cx double, cy double, cz double"))
+    return out.select("row_id", "scene", F.round("cam_dist", 6).alias("cam_dist"))
+
+
+_SIGNS = f"""{POINTS}, {_BOX}, nb as (select a.row_id, a.scene, sqrt((a.x::double-b.x::double)*(a.x::double-b.x::double) + (a.y::double-b.y::double)*(a.y::double-b.y::double) + (a.z::double-b.z::double)*(a.z::double-b.z::double)) as dist, b.row_id as o
+ from pts a join pts b on a.scene = b.scene and a.row_id <> b.row_id), rk as (select *, row_number() over (partition by scene, row_id order by dist, o) as k from nb),
+kn as (select scene, row_id, avg(dist) as knn from rk where k <= 8 group by scene, row_id), md as (select scene, median(knn) as mid from kn group by scene),
+sg as (select pts.*, 1 / (1 + exp(-opacity::double)) as alpha, not ({_IN}) as outside, {_AWAY} as cam_dist, coalesce(knn > 5 * mid, false) as isolated, list_sort([exp(scale_0::double), exp(scale_1::double), exp(scale_2::double)]) as s
+ from pts join bx using (scene) left join kn using (scene, row_id) left join md using (scene)),
+fl as (select *, coalesce(cam_dist < 0.8 and alpha > 0.5, false) as free, coalesce(alpha * least(pi() * s[2] * s[3] / power(greatest(cam_dist, 0.02), 2), 4 * pi()), 0) as w from sg),
+fa as (select *, outside or free or isolated as floater from fl)"""
+
+
+def _signs(spark, d):
+    p = cloud.attributes(base.points(spark, d))
+    marked = cloud.outside(["scene"], p, cloud.region(p, ["scene"]))
+    near = cloud.isolated(p.select("row_id", "scene", "x", "y", "z"), ["scene"], "row_id", 1.0).select("scene", "row_id", "isolated").distinct()
+    away = cloud.camera_distance(marked.join(near, ["scene", "row_id"], "left"), spark.createDataFrame(_CAMS, "cx double, cy double, cz double"))
+    return cloud.floaters(away, 0.8)
+
+
+@query(f"""with {_SIGNS}, e as (select scene, w, unnest(['outside', 'free', 'isolated', 'any']) as sign, unnest([outside, free, isolated, floater]) as hit from fa)
+select scene, sign, round(avg(hit::int), 9) as share, round(coalesce(sum(w) filter (where hit), 0) / sum(w), 6) as weight from e group by scene, sign""")
+def floater_shares(spark, d):
+    """Share of each scene's points with each sign of a floater, by number and by what they hide."""
+    s = lambda i: F.get("sizes", F.lit(i))
+    w = F.coalesce(splat.visual_weight(F.col("alpha"), s(1), s(2), F.col("cam_dist")), F.lit(0.0))
+    signs = F.explode(F.array(*[F.struct(F.lit(n).alias("sign"), F.col(c).alias("hit")) for n, c in (("outside", "outside"), ("free", "free"), ("isolated", "isolated"), ("any", "floater"))]))
+    each = _signs(spark, d).select("scene", w.alias("w"), signs.alias("e")).select("scene", "w", "e.sign", F.coalesce("e.hit", F.lit(False)).alias("hit"))
+    out = each.groupBy("scene", "sign").agg(F.avg(F.col("hit").cast("double")).alias("share"), (F.sum(F.when(F.col("hit"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("weight"))
+    return out.select("scene", "sign", F.round("share", 9).alias("share"), F.round("weight", 6).alias("weight"))
+
+
+@query(f"with {_SIGNS} select row_id, scene from fa where coalesce(alpha > 0.5, false) and not floater")
+def core_points(spark, d):
+    """Opaque points without a sign of a floater."""
+    return _signs(spark, d).where("core").select("row_id", "scene")
+
+
+@query(f"""with {POINTS} select scene, round(min(x::double) - 0.05 * greatest(max(x::double) - min(x::double), max(y::double) - min(y::double)), 6) as x0, round(avg(least(greatest(0.5 + 0.28209479177387814 * f_dc_0::double, 0), 1)), 6) as red from pts group by scene""")
+def scene_looks(spark, d):
+    """Left border of each scene's view from above, and its mean red."""
+    p = base.points(spark, d)
+    red = p.groupBy("scene").agg(F.avg(splat.colour(F.col("f_dc_0"))).alias("red"))
+    wide = F.max(F.col("x").cast("double")) - F.min(F.col("x").cast("double"))
+    high = F.max(F.col("y").cast("double")) - F.min(F.col("y").cast("double"))
+    left = p.groupBy("scene").agg((F.min(F.col("x").cast("double")) - 0.05 * F.greatest(wide, high)).alias("x0"))
+    return left.join(red, "scene").select("scene", F.round("x0", 6).alias("x0"), F.round("red", 6).alias("red"))
+
+
+@query(f"""with {POINTS}, b as (select min(x::double) as x0, max(x::double) as x1, min(y::double) as y0, max(y::double) as y1 from pts where scene = 'arena_full')
+select round(x0 - 0.05 * greatest(x1 - x0, y1 - y0), 6) as x0, round(y0 - 0.05 * greatest(x1 - x0, y1 - y0), 6) as y0, round(900 / (greatest(x1 - x0, y1 - y0) * 1.1), 6) as scale from b""")
+def top_view(spark, d):
+    """Origin and scale of a scene's view from above."""
+    p = base.points(spark, d).where("scene = 'arena_full'").select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return aggregates.top_down_extent(p, "x", "y", 900).select(*[F.round(c, 6).alias(c) for c in ("x0", "y0", "scale")])
+
+
+@query("""select l_linenumber, round(max(case when l_discount > 0 then -10 * log10(l_discount::double) end), 6) as best, count(*) filter (where l_discount = 0)::bigint as exact from lineitem group by l_linenumber""")
+def noise_ratios(spark, d):
+    """Best signal-to-noise ratio of errors, and how many there are without an error."""
+    rows = table(spark, d, "lineitem").select("l_linenumber", F.col("l_discount").cast("double").alias("e"))
+    return rows.groupBy("l_linenumber").agg(F.round(F.max(num.psnr(F.col("e"))), 6).alias("best"), F.count_if(F.col("e") == 0).alias("exact"))
+
+
+@query("""with o as (select l_orderkey as image, l_partkey as point, l_discount::double as error from lineitem), t as (select avg(n) as track_length from (select count(*) as n from o group by point)),
+s as (select avg(n) as seen_mean, min(n) as seen_min, max(n) as seen_max from (select count(*) as n from o group by image))
+select round((select avg(error) from o), 9) as error, round(track_length, 6) as track_length, round(seen_mean, 6) as seen_mean, seen_min::bigint as seen_min, seen_max::bigint as seen_max from t, s""")
+def observation_means(spark, d):
+    """Mean error, observations per point and points per image, orders standing for images and parts for points."""
+    o = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_partkey").alias("point"), F.col("l_discount").cast("double").alias("error"))
+    out = aggregates.reconstruction_means(o, o)
+    return out.select(F.round("error", 9).alias("error"), F.round("track_length", 6).alias("track_length"), F.round("seen_mean", 6).alias("seen_mean"), "seen_min", "seen_max")
+
+
+@query(f"""with {IMAGES}, n as (select run, image_id, row_number() over (partition by run order by image_id) - 1 as i, count(*) over (partition by run) as n, ceil(round(count(*) over (partition by run) * 0.9, 9))::bigint as m from img),
+k as (select run, case when m = 1 then 0 else (j * (n - 1)) // (m - 1) end as i from (select distinct run, n, m from n), lateral (select unnest(range(m)) as j))
+select run, image_id from n anti join k on k.run = n.run and k.i = n.i where n.run is not null""")
+def held_out_images(spark, d):
+    """Images of a run left out of the nine tenths spread evenly over it."""
+    i = base.images(spark, d, "run").where("run is not null").select("run", "image_id")
+    return sequences.held_out(i, ["run"], ["image_id"], F.floor(F.col("image_id") / 5000), 0.9)
+
+
+@query(f"with {IMAGES} select distinct source as name from clips where source is not null union select distinct plate from img where plate is not null")
+def file_union(spark, d):
+    """Files named by clips or by images, once each."""
+    from reelgrain.sources.documents import file_names
+
+    return file_names(table(spark, d, "clips").select("source"), base.images(spark, d, "plate").select("plate"))
+
+
+@query(f"with {IMAGES} select run, coalesce(bool_and(kind in ('two', 'one', 'empty')), true) as free from img group by run")
+def free_runs(spark, d):
+    """Runs all of whose images are of the free kinds; images without a kind don't count against one."""
+    kind = F.col("kind").isin("two", "one", "empty")
+    return base.images(spark, d, "run", "kind").groupBy("run").agg(F.coalesce(F.bool_and(kind), F.lit(True)).alias("free"))
+
+
+@query(f"""with recursive {PLACED}, tr as (select run, image_id, k, bbox, row_number() over (partition by run, image_id order by k) as rn from placed where bbox is not null),
+fo as (select run, image_id, list([v + image_id % 40 for v in bbox] order by k) as f from placed where bbox is not null and visible > 0.3 group by run, image_id),
+a as (select tr.*, coalesce(f, []) as f from tr left join fo on fo.image_id = tr.image_id and fo.run is not distinct from tr.run),
+t(run, image_id, rn, f, used, hit) as (select run, image_id, 0::bigint, f, []::bigint[], false from a where rn = 1
+ union all select a.run, a.image_id, a.rn, a.f, case when y.hit then list_append(t.used, y.best) else t.used end, y.hit
+ from t join a on a.image_id = t.image_id and a.run is not distinct from t.run and a.rn = t.rn + 1,
+ lateral (select [case when list_contains(t.used, i) then -1.0::double else greatest(least(a.bbox[3], a.f[i][3]) - greatest(a.bbox[1], a.f[i][1]), 0)::double * greatest(least(a.bbox[4], a.f[i][4]) - greatest(a.bbox[2], a.f[i][2]), 0) /
+  ((a.bbox[3] - a.bbox[1]) * (a.bbox[4] - a.bbox[2]) + (a.f[i][3] - a.f[i][1]) * (a.f[i][4] - a.f[i][2]) - greatest(least(a.bbox[3], a.f[i][3]) - greatest(a.bbox[1], a.f[i][1]), 0)::double * greatest(least(a.bbox[4], a.f[i][4]) - greatest(a.bbox[2], a.f[i][2]), 0) + 1e-9::double) end for i in range(1, len(a.f) + 1)] as o) x,
+ lateral (select list_max([i for i in range(1, len(x.o) + 1) if x.o[i] = list_max(x.o)]) as best, coalesce(list_max(x.o) >= 0.5, false) as hit) y),
+s as (select run, image_id, count(*) filter (where hit) as hits, max(rn) as total, len(any_value(f)) as found from t group by run, image_id)
+select run, sum(hits)::bigint as hits, sum(total)::bigint as total, sum(found - hits)::bigint as extra, sum(hits) / greatest(sum(total), 1)::double as recall from s group by run""")
 def detector_recall(spark, d):
     """Placed robots found again by boxes moved by their position in the image, per run."""
     p = base.placed(spark, d).where("bbox is not null")
@@ -416,30 +547,69 @@ def detector_recall(spark, d):
     return hits.withColumn("recall", F.col("hits") / F.greatest(F.col("total"), F.lit(1)))
 
 
-@query()
+def _unit(keys: str, seed: int) -> str:
+    """The uniform number of ``numeric.unit`` in SQL."""
+    return f"(('0x' || substr(md5(concat_ws('|', {keys}, '{seed}')), 1, 13))::bigint / 4503599627370496::double)"
+
+
+@query(f"""with {PLACED}, m as (select distinct {_ROBOT.format(s='source')} as robot, source from placed where source like 'cutout:%'), mm as (select *, row_number() over (partition by robot order by md5(source), source) - 1 as i from m where robot is not null),
+r as (select robot, n, row_number() over (order by md5(robot), robot) - 1 as g, count(*) over () as whole from (select robot, count(*) as n from mm group by robot)),
+p as (select image_id, r.robot, floor({_unit('image_id', 4)} * r.n)::bigint as i from img join r on r.g = floor({_unit('image_id', 3)} * r.whole)::bigint)
+select image_id, p.robot, source from p join mm on mm.robot = p.robot and mm.i = p.i""")
 def two_level_sample(spark, d):
     """For each image a uniform robot, then a uniform cut-out of it."""
     pool = base.placed(spark, d).where("source like 'cutout:%'").select(robot_of(F.col("source")).alias("robot"), "source").where("robot is not null")
     return sampling.two_level(base.images(spark, d, "run"), pool, "image_id", "robot", "source", seed=3)
 
 
-@query()
+@query(f"""with {PLACED}, f as (select {_ROBOT.format(s='source')} as robot, coalesce(lower(string_split(arg_min(source, source), ':')[4]), '') as c from placed where source like 'cutout:%' group by 1),
+r as (select robot, c, row_number() over (order by c, md5(robot), robot) - 1 as g, count(*) over () as whole from f where robot is not null), s as (select c, min(g) as start, count(*) as gap from r where c <> '' group by c),
+p as (select image_id, coalesce(s.start, 9e15) as start, coalesce(s.gap, 0) as gap, (select count(*) from r) - coalesce(s.gap, 0) as rest from img left join s on s.c = lower(img.clip)),
+a as (select image_id, start, gap, floor({_unit('image_id', 9)} * rest)::bigint as i from p where rest > 0)
+select image_id, robot from a join r on r.g = case when i >= start then i + gap else i end""")
+def other_clip_draw(spark, d):
+    """For each image a uniform robot whose first cut-out was not filmed in the image's own clip."""
+    clip = F.lower(F.get(F.split("source", ":"), F.lit(3)))
+    pool = base.placed(spark, d).where("source like 'cutout:%'").select(robot_of(F.col("source")).alias("robot"), "source", clip.alias("clip"))
+    images = base.images(spark, d, "clip").select("image_id", F.lower("clip").alias("clip"))
+    return sampling.other_group(images, pool, "image_id", "robot", "source", "clip", seed=9)
+
+
+@query(f"""with {IMAGES}, u as (select {_unit('image_id', 5)} as u from img) select case when u < 0.85 then 'two' when u < 0.85::double + 0.10::double then 'one' else 'empty' end as kind, count(*)::bigint as n from u group by 1""")
 def kind_draw(spark, d):
     """Kinds drawn by their shares."""
     i = base.images(spark, d, "run")
     return i.groupBy(sampling.draw_kind("image_id", KINDS[:3], seed=5).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _second(keys: str, x: str, y: str, width: str, seed: int) -> str:
+    far = f"({width}::double * case when {_unit(keys, seed)} < 0.5 then 0.7::double + 0.6::double * {_unit(keys, seed + 1)} else 1.5::double + 3.5::double * {_unit(keys, seed + 1)} end)"
+    angle = f"({_unit(keys, seed + 2)} * 6.283185307179586::double)"
+    return f"{x}::double + {far} * cos({angle}) as x, {y}::double + 0.6::double * {far} * sin({angle}) as y"
+
+
+@query(f"""with {IMAGES}, t as (select image_id, attempt, {_second('image_id, attempt', '720', '400', '160', 7)} from img, (select unnest(range(200)) as attempt)),
+a as (select *, row_number() over (partition by image_id order by attempt) as rn from t where x between 80 and 1440 - 80 and y between 200 and 762)
+select image_id, attempt::int as attempt, round(x, 6) as x, round(y, 6) as y from a where rn = 1""")
 def reject_sample(spark, d):
     """Second robots placed until one fits into the picture."""
     i = base.images(spark, d, "run").select("image_id")
     x, y = sampling.second_place("image_id", F.lit(720.0), F.lit(400.0), F.lit(160.0), seed=7)
     ok = F.col("x").between(80, WIDTH - 80) & F.col("y").between(200, HEIGHT)
-    return sampling.first_accepted(i, "image_id", 20, {"x": x, "y": y}, ok)
+    out = sampling.first_accepted(i, "image_id", 20, {"x": x, "y": y}, ok)
+    return out.select("image_id", F.col("attempt").cast("int").alias("attempt"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query()
+@query(f"""with t as (select attempt, {_unit('attempt', 11)} * 1440 as x, {_unit('attempt', 12)} * 762 as y from (select unnest(range(20000)) as attempt))
+select (row_number() over (order by attempt) - 1 + 100)::bigint as number, attempt, round(x, 6) as x, round(y, 6) as y from t where x between 80 and 1360 and y between 500 and 762 order by attempt limit 600""")
+def accepted_layouts(spark, d):
+    """Places drawn until six hundred lie on the near floor, numbered from 100."""
+    columns = {"x": num.unit("attempt", seed=11) * 1440, "y": num.unit("attempt", seed=12) * 762}
+    out = sampling.accepted_until(spark, 600, columns, F.col("x").between(80, 1360) & F.col("y").between(500, 762), start=100)
+    return out.select("number", "attempt", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("with n as (select *, row_number() over (partition by p_brand order by md5('1|' || p_partkey), p_partkey) as rn from part) select * exclude (rn) from n where rn <= 3")
 def brand_sample(spark, d):
     """Three parts per brand by hash order."""
     return sampling.stratified(table(spark, d, "part"), ["p_brand"], "p_partkey", 3, seed=1)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrain.sources import schemas
@@ -270,3 +270,25 @@ def frame_list_gaps(listed: DataFrame, present: DataFrame, name: str = "name") -
     """``listed, missing``: how many names a list has and how many of them aren't there."""
     mark = present.select(name).distinct().withColumn("_on", F.lit(True))
     return listed.join(mark, name, "left").agg(F.count(F.lit(1)).alias("listed"), F.count_if(F.col("_on").isNull()).alias("missing"))
+
+
+def homography(spark: SparkSession, path: str) -> list[list[float]]:
+    """The 3 x 3 matrix of a document of nested lists."""
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<double>>").alias("h")).first()["h"]
+    if text is None or len(text) != 3 or any(row is None or len(row) != 3 for row in text):
+        raise ValueError("not three rows of three numbers")
+    return [list(row) for row in text]
+
+
+def train_share(text: Column) -> Column:
+    """The ``train_split_fraction`` of a run's settings; null where they name none."""
+    return F.nullif(F.regexp_extract(text, r"train_split_fraction: ([0-9.]+)", 1), F.lit("")).try_cast("double")
+
+
+def file_names(*lists: DataFrame) -> DataFrame:
+    """Names of several file lists, each once; null names are left out."""
+    out = None
+    for names in lists:
+        one = names.select(F.col(names.columns[0]).alias("name")).where("name is not null")
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()

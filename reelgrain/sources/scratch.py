@@ -1,7 +1,7 @@
 """Intermediate tables in the shared folder the session names, so that a lost executor loses no work.
 
-The folder is read from ``spark.checkpoint.dir``. Only where that is unset (tests, a single machine) a
-temporary folder of this process is used.
+The folder is read from ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests, a single machine)
+a temporary folder of this process is used; on a cluster an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="reelgrain-")
         atexit.register(shutil.rmtree, _own["dir"], True)

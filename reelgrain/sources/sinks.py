@@ -4,14 +4,31 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
-import numpy as np
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrain.operators.aggregates import wide
 
 
+def _system(path: str) -> tuple[FileSystem, str]:
+    """File system and path of an address (hdfs://, s3://, file://, ...) or a plain path, its folder made."""
+    fs, root = FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+    fs.create_dir(root, recursive=True)
+    return fs, root
+
+
+def write_text(path: str, text: str) -> None:
+    """A small document, written whole."""
+    folder, name = os.path.split(path)
+    fs, root = _system(folder or ".")
+    with fs.open_output_stream(f"{root}/{name}") as f:
+        f.write(text.encode())
+
+
 def tracking_csv(tracks: DataFrame, labels: list[str], path: str) -> DataFrame:
     """Wide CSV, one row per frame: per label pixels (2 decimals), metres (4 decimals, empty without calibration), source.
 
@@ -30,20 +47,17 @@ def label_files(images: DataFrame, rows: DataFrame, folder: str) -> None:
     every = images.select("image").distinct().join(lines, "image", "left").select("image", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
 
     def write(part) -> None:
-        os.makedirs(folder, exist_ok=True)
+        fs, root = _system(folder)
         for r in part:
-            tmp = f"{folder}/.{r['image']}.{os.getpid()}"
-            with open(tmp, "w") as f:
-                f.write(f"{r['text']}\n" if r["text"] else "")
-            os.replace(tmp, f"{folder}/{os.path.splitext(r['image'])[0]}.txt")
+            with fs.open_output_stream(f"{root}/{os.path.splitext(r['image'])[0]}.txt") as f:
+                f.write((f"{r['text']}\n" if r["text"] else "").encode())
 
     every.foreachPartition(write)
 
 
 def data_yaml(folder: str, classes: dict[int, str]) -> str:
     text = "path: .\ntrain: images\nval: images\nnames:\n" + "".join(f"  {k}: {v}\n" for k, v in sorted(classes.items()))
-    with open(os.path.join(folder, "data.yaml"), "w") as f:
-        f.write(text)
+    write_text(f"{folder}/data.yaml", text)
     return text
 
 
@@ -62,11 +76,17 @@ def parts(items: DataFrame, start: str, each: int, path: str) -> None:
 def report(row: DataFrame, path: str) -> dict:
     """A report of one row as a document."""
     text = row.select(F.to_json(F.struct("*")).alias("j")).first()["j"]
-    with open(path, "w") as f:
-        json.dump(json.loads(text), f, indent=1)
+    write_text(path, json.dumps(json.loads(text), indent=1))
     return json.loads(text)
 
 
+def homography(h: list[list[float]], path: str) -> None:
+    """A 3 x 3 matrix as nested lists; ``documents.homography`` reads it."""
+    if len(h) != 3 or any(len(row) != 3 for row in h):
+        raise ValueError("a homography has three rows of three")
+    write_text(path, json.dumps([[float(v) for v in row] for row in h]))
+
+
 def gate(checked: DataFrame, ok: Column, path: str) -> tuple[DataFrame, DataFrame]:
     """Rows split into ``kept`` and ``set_aside`` folders; the input stays as it is, so a second run changes nothing."""
     marked = checked.withColumn("gate", F.when(F.coalesce(ok, F.lit(False)), "kept").otherwise("set_aside"))
@@ -77,15 +97,25 @@ def gate(checked: DataFrame, ok: Column, path: str) -> tuple[DataFrame, DataFram
 
 
 def ply(points: DataFrame, columns: list[str], path: str, comment: str = "") -> int:
-    """Binary little-endian file in ``row_id`` order. Rows stream through the driver one partition at a time, since a
-    single file has a single writer; returns the number of points."""
+    """Binary little-endian file in ``row_id`` order; returns the number of points.
+
+    Tasks encode their range of points as one block of bytes; a single file has a single writer, which appends the blocks
+    one at a time.
+    """
     n = points.count()
     ordered = points.select("row_id", *columns).repartitionByRange("row_id").sortWithinPartitions("row_id")
-    with open(path, "wb") as f:
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"block": [pdf[columns].to_numpy("<f4").tobytes()]})
+
+    folder, name = os.path.split(path)
+    fs, root = _system(folder or ".")
+    with fs.open_output_stream(f"{root}/{name}") as f:
         head = ["ply", "format binary_little_endian 1.0", *([f"comment {comment}"] if comment else []), f"element vertex {n}"]
         f.write("\n".join([*head, *[f"property float {c}" for c in columns], "end_header", ""]).encode())
-        for row in ordered.toLocalIterator(prefetchPartitions=True):
-            f.write(np.array(row[1:], "<f4").tobytes())
+        for row in ordered.mapInPandas(encode, "block binary").toLocalIterator(prefetchPartitions=True):
+            f.write(bytes(row["block"]))
     return n
 
 

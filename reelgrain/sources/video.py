@@ -67,13 +67,13 @@ class _Part(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.every = options["path"], int(options.get("every", 1))
+        self.path, self.every, self.each = options["path"], int(options.get("every", 1)), int(options.get("framesPerTask", 500))
         v = probe(self.path)
         self.start = int(options.get("start", 0))
         self.stop = min(int(options.get("stop", v["frames"])), v["frames"])
 
     def partitions(self) -> list[_Part]:
-        step = max(1, -(-(self.stop - self.start) // (8 * self.every))) * self.every
+        step = max(1, self.each // self.every) * self.every
         return [_Part(a, min(a + step, self.stop)) for a in range(self.start, self.stop, step)] or [_Part(0, 0)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:

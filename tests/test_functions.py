@@ -118,7 +118,7 @@ def test_outline_rules(spark):
     big, bit = (10000, 0.9, 0.5, False, [0, 0, 100, 100], 1.0), (600, 0.9, 0.5, False, [115, 0, 130, 10], 1.0)
     rows = [(None, False, False, 0.0), ([], False, True, 0.3), ([big], False, False, 0.0), ([big, bit], False, False, 0.0), ([big, big, bit], None, None, None), ([big[:2] + (0.1, True) + big[4:]], True, False, 0.0)]
     got = [list(r[0]) for r in spark.createDataFrame(rows, shape).select(rules.outline_reasons()).collect()]
-    assert got == [["no outline"], ["no outline", "region missed", "unlabelled change"], ["one outline only"], ["fragment"], ["too many outlines"], ["one outline only", "too many outlines", "standing still", "at the edge"]]
+    assert got == [[rules.REASONS[k] for k in keys.split()] for keys in ("none", "none missed change", "one", "piece", "many", "one many static edge")]
 
 
 def test_aggregates(spark):

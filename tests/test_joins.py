@@ -77,11 +77,13 @@ def test_greedy_assign(spark):
     assert matching.greedy_pairs(np.array([[5.0, 1.0], [9.0, 0.5]])) == [(1, 1), (0, 0)]
 
 
-def test_match_in_order_ties_take_the_later():
-    t = np.array([[0, 0, 10, 10], [0, 0, 10, 10], [100, 100, 110, 110]])
-    f = np.array([[0, 0, 10, 10], [0, 0, 10, 10], [0, 0, 10, 9], [300, 300, 310, 310]])
-    assert matching.match_in_order(t, f) == [1, 0, -1]
-    assert matching.match_in_order(t[:0], f) == [] and matching.match_in_order(t, f[:0]) == [-1, -1, -1]
+def test_true_boxes_choose_in_order_and_ties_take_the_later(spark):
+    schema = "image long, k long, box array<int>"
+    t = spark.createDataFrame([(1, 0, [0, 0, 10, 10]), (1, 1, [0, 0, 10, 10]), (1, 2, [100, 100, 110, 110]), (2, 0, [0, 0, 10, 10])], schema)
+    f = spark.createDataFrame([(1, 0, [0, 0, 10, 10]), (1, 1, [0, 0, 10, 10]), (1, 2, [0, 0, 10, 9]), (1, 3, [300, 300, 310, 310])], schema)
+    rows = matching.detections_matched(t, f, ["image"]).collect()
+    assert [r.hit for r in sorted(rows, key=lambda r: (r.image, r.k if r.k is not None else 9)) if r.k is not None] == [True, True, False, False]
+    assert {r.image: r.extra for r in rows if r.k is None} == {1: 2, 2: 0}
 
 
 def test_detections_matched(spark):
@@ -93,12 +95,37 @@ def test_detections_matched(spark):
     assert {r.image: r.extra for r in rows if r.k is None} == {1: 1, 2: 0, 3: 1}
 
 
-def test_suppress_and_names(spark):
+def test_suppress(spark):
     df = spark.createDataFrame([(1, 0, [0, 0, 10, 10]), (1, 1, [0, 0, 10, 9]), (1, 2, [5, 5, 15, 15]), (2, 0, None)], "i long, k long, box array<int>")
     assert sorted(r.k for r in matching.suppress(df, ["i"], ["k"], "box").collect()) == [0, 2]
-    c = [np.array([0.0]), np.array([10.0])]
-    assert matching.name_two(c, [np.array([5.0])]) == [0]
-    assert matching.name_two(c, [np.array([6.0]), np.array([5.0])]) == [1, 0]
-    m = np.zeros((4, 4), bool)
-    m[:2] = True
-    assert matching.covered_suppress([m, m, ~m]) == [0, 2]
+
+
+def test_suppress_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(500):
+        x, y, w, h = int(rng.integers(0, 60)), int(rng.integers(0, 60)), int(rng.integers(0, 40)), int(rng.integers(1, 40))
+        rows.append((i % 3, i, [x, y, x + w, y + h], "x"))
+    rows += [(1, 600 + i, [5, 5, 25, 25], "y") for i in range(50)] + [(1, 700, None, "z"), (1, 701, [1, None, 3, 4], "z")]
+    for most in (0.7, 0.3, 0.01):
+        want = set()
+        for key in range(3):
+            kept = []
+            for _, k, b, _ in sorted((r for r in rows if r[0] == key and r[2] and None not in r[2]), key=lambda r: r[1]):
+                iou = lambda a: max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0) / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0) + 1e-9)  # noqa: B023, E731
+                if all(iou(a) <= most for a in kept):
+                    kept.append(b)
+                    want.add((key, k))
+        got = matching.suppress(spark.createDataFrame(rows, "i long, k long, box array<int>, note string"), ["i"], ["k"], "box", most).collect()
+        assert {(r.i, r.k) for r in got} == want and len(got) == len(want)
+
+
+def test_nearest_centre_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    c, p = rng.normal(size=(40, 3)), rng.normal(size=(60, 3))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(p)], "id long, v array<double>")
+    centres = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "label long, centre array<double>")
+    for limit in (1000, 7):
+        got = {r.id: r.label for r in joins.nearest_centre(rows, centres, "v", "id", "label", limit).collect()}
+        assert got == {i: int(((c - v) ** 2).sum(axis=1).argmin()) for i, v in enumerate(p)}
+    assert joins.nearest_centre(rows, centres.limit(0), "v", "id", "label").count() == 0
