@@ -181,8 +181,10 @@ def calibrated(composed: DataFrame, targets: DataFrame, fraction: int = FRACTION
     want = targets.where("robot is not null").select(F.lower(F.regexp_replace("robot", r"[\s_-]+", "")).alias("robot"), F.col("robot").alias("named"), "share_pct", "min_rows")
     # names that normalise alike are one target
     want = want.groupBy("robot").agg(F.min("named").alias("named"), F.coalesce(F.max("share_pct"), F.lit(0)).alias("share_pct"), F.coalesce(F.max("min_rows"), F.lit(0)).alias("min_rows"))
-    if want.count() > MOST_TARGETS:
+    listed = want.limit(MOST_TARGETS + 1).collect()
+    if len(listed) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} targets")
+    want = composed.sparkSession.createDataFrame(listed, want.schema)
     moments = entries.groupBy("run", "robot", "kind").agg(F.count(F.lit(1)).alias("n"))
     sizes = moments.groupBy("run").agg(F.floor(F.sum("n") / fraction).cast("long").alias("size"))
     runs = composed.where("run is not null").select("run").distinct().join(sizes, "run", "left").select("run", F.coalesce("size", F.lit(0)).alias("size"))

@@ -27,7 +27,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.sample(table(spark, d, "composed"), table(spark, d, "targets"))[1]
+    report = calibrate.sample(table(spark, d, "composed"), table(spark, d, "targets"))[1]
+    return report.select("run", "robot", "share_pct", "entries", "size", "needed", "gap")
+
+
+def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return calibrate.sample(table(spark, d, "composed"), table(spark, d, "targets"))[1].select("run", "robot", "expected", "drawn")
 
 
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +68,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.neighbours(table(spark, d, "splat_points"))
+    """Of every point its neighbours, nearest first, as one text, and how far the last is."""
+    found = neighbours.neighbours(table(spark, d, "splat_points"))
+    return found.select("row_id", F.array_join(F.transform("near", lambda n: n.cast("string")), ",").alias("near"), F.array_max("distance").alias("farthest"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,9 +98,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [p1_found, p1_runs, p2_found, p2_report, p2_sample, p2_kinds, p3_found, p3_clusters, p4_found, p4_images, p4_frames, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_matches, p7_clean, p8_found]
+    named = [p1_found, p1_runs, p2_found, p2_report, p2_sizes, p2_sample, p2_kinds, p3_found, p3_clusters, p4_found, p4_images, p4_frames, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_matches, p7_clean, p8_found]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": oracles.P1_FOUND, "p1_runs": oracles.P1_RUNS, "p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p4_found": oracles.P4_FOUND, "p5_found": oracles.P5_FOUND, "p6_found": oracles.P6_FOUND}
+    return {"p1_found": oracles.P1_FOUND, "p1_runs": oracles.P1_RUNS, "p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p4_found": oracles.P4_FOUND, "p5_found": oracles.P5_FOUND, "p6_found": oracles.P6_FOUND, "p2_report": oracles.P2_REPORT, "p5_neighbours": oracles.P5_NEIGHBOURS, "p7_found": oracles.P7_FOUND, "p7_clean": oracles.P7_CLEAN, "p4_images": oracles.P4_IMAGES, "p4_frames": oracles.P4_FRAMES}

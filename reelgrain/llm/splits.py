@@ -12,9 +12,10 @@ frames is a component of its own; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelgrain.functions.numeric import unit
 from reelgrain.llm.graphs import components, join_unique
 from reelgrain.sources.scratch import Scratch
 from reelgrain.sources.tables import clean_clip, latest
@@ -59,6 +60,20 @@ def related_images(composed: DataFrame) -> DataFrame:
     return out.select(F.col("node").alias("image_id"), F.col("root").alias("first_image_id"))
 
 
+def _range(u: Column, shares: list[tuple[str, float]]) -> Column:
+    """The split whose range of the hash's unit interval ``u`` lies in."""
+    at, choice = 0.0, None
+    for name, share in shares[:-1]:
+        at += share
+        choice = F.when(u < at, name) if choice is None else choice.when(u < at, name)
+    return choice.otherwise(shares[-1][0]) if choice is not None else F.lit(shares[-1][0])
+
+
+def _listed(splits: DataFrame) -> list[tuple[str, int]]:
+    """The fixed small table of splits, largest share first."""
+    return [(r[0], r[1]) for r in splits.select("split_name", "share_pct").where("split_name is not null").orderBy(F.desc("share_pct"), "split_name").collect()]
+
+
 def place(sized: DataFrame, splits: list[tuple[str, int]], total: int, seed: int = SEED) -> DataFrame:
     """``component, split_name`` for components with their ``size``; see the module's text.
 
@@ -74,43 +89,35 @@ def place(sized: DataFrame, splits: list[tuple[str, int]], total: int, seed: int
         want[name] -= row["size"]
     left = {s: max(0.0, w) for s, w in want.items()}
     whole = sum(left.values()) or 1.0
-    at, choice = 0.0, None
-    unit = (F.xxhash64("component", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("unit")
-    last = splits[-1][0]
-    for name, _ in splits[:-1]:
-        at += left[name] / whole
-        choice = F.when(unit < at, name) if choice is None else choice.when(unit < at, name)
-    by_hash = choice.otherwise(last) if choice is not None else F.lit(last)
+    by_hash = _range(unit("component", seed=seed), [(name, left[name] / whole) for name, _ in splits])
     given = spark.createDataFrame(list(heavy.items()), "component long, heavy string")
     return sized.select("component").join(F.broadcast(given), "component", "left").select("component", F.coalesce("heavy", by_hash).alias("split_name"))
 
 
 def image_splits(composed: DataFrame, splits: DataFrame) -> DataFrame:
     """``image_id, component, split_name``: one row per image; ``component`` is its smallest related image."""
-    scratch = Scratch(composed.sparkSession, "splits")
-    images = images_of(composed)
-    named = [(r[0], r[1]) for r in splits.select("split_name", "share_pct").where("split_name is not null").orderBy(F.desc("share_pct"), "split_name").collect()]
-    related = relate(filmed_frames(images), "image_id", ["clip", "frame"]).select(F.col("node").alias("image_id"), "root")
+    return _placed(images_of(composed), splits)[0]
+
+
+def _placed(images: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The images' splits, and the filmed frames they use as a written table."""
+    scratch = Scratch(images.sparkSession, "splits")
+    images = scratch.write(images)
+    uses = scratch.write(filmed_frames(images))
+    named = _listed(splits)
+    related = relate(uses, "image_id", ["clip", "frame"]).select(F.col("node").alias("image_id"), "root")
     members = scratch.write(images.select("image_id").join(related, "image_id", "left").select("image_id", F.coalesce("root", "image_id").alias("component")))
     total = members.count()
     sized = scratch.write(members.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     placed = sized.join(place(sized, named, total), "component")
-    return join_unique(members, placed, "component", "size", max(total, 1)).select("image_id", "component", "split_name")
+    return join_unique(members, placed, "component", "size", max(total, 1)).select("image_id", "component", "split_name"), uses
 
 
 def frame_splits(composed: DataFrame, manifest: DataFrame, splits: DataFrame) -> DataFrame:
     """``clip, frame, split_name`` of every manifest frame: that of the images using it, else by its own hash."""
-    scratch = Scratch(composed.sparkSession, "frames")
-    placed = scratch.write(image_splits(composed, splits).select("image_id", "split_name"))
+    placed, uses = _placed(images_of(composed), splits)
     # the images of one frame share a split, so any of them names it
-    used = filmed_frames(images_of(composed)).join(placed, "image_id").groupBy("clip", "frame").agg(F.min("split_name").alias("used"))
+    used = uses.join(placed.select("image_id", "split_name"), "image_id").groupBy("clip", "frame").agg(F.min("split_name").alias("used"))
     frames = manifest.select(clean_clip(F.col("clip")).alias("clip"), "frame").where("clip is not null and frame is not null").distinct()
-    named = [(r[0], r[1]) for r in splits.select("split_name", "share_pct").where("split_name is not null").orderBy(F.desc("share_pct"), "split_name").collect()]
-    own = frames.select("clip", "frame", F.xxhash64("clip", "frame").alias("component"))
-    at, choice = 0.0, None
-    unit = F.xxhash64("component", F.lit(SEED)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    for name, share in named[:-1]:
-        at += share / 100
-        choice = F.when(unit < at, name) if choice is None else choice.when(unit < at, name)
-    by_hash = choice.otherwise(named[-1][0])
-    return own.join(used, ["clip", "frame"], "left").select("clip", "frame", F.coalesce("used", by_hash).alias("split_name"))
+    by_hash = _range(unit("clip", "frame", seed=SEED), [(name, share / 100) for name, share in _listed(splits)])
+    return frames.join(used, ["clip", "frame"], "left").select("clip", "frame", F.coalesce("used", by_hash).alias("split_name"))
